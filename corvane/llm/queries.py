@@ -5,16 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm.chat import format_conversations, loss_text, parse_formatted
+from corvane.llm.minhash import fingerprint_edits
 from corvane.llm.simhash import near_components
-from corvane.session import table
+from corvane.llm.warc import archive_pages, remove_folder
+from corvane.session import cut_lineage, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), budget=2, words_per_shingle=3)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+        "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = format_conversations(turns).select(
+        "conv_id", "valid", parse_formatted(F.col("formatted")).alias("ts"), loss_text(F.col("segments")).alias("loss"), F.char_length("formatted").alias("n")
+    )
+    spelled = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("ts").cast("long").alias("n_turns"),
+        F.sha2(spelled, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("n").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(text) + 4 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<', ''))
+    - length(replace(text, '[', '')) - length(replace(text, '>', ''))
+    + CASE role WHEN 'system' THEN 8 + 10 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 4 + 6
+      ELSE 6 + 2 + 9 + 5 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', ''))
+        - length(replace(role, '[', '')) - length(replace(role, '>', '')) END AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, records = archive_pages(table(spark, sf_dir, "pages"))
+    read = cut_lineage(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove_folder(spark, folder)
+    return read
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_chat": op6_chat,
+    "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
