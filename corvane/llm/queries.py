@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.chat import format_conversations, loss_text, parse_formatted
 from corvane.llm.minhash import fingerprint_edits
+from corvane.llm.passages import remove_repeated_passages
 from corvane.llm.simhash import near_components
+from corvane.llm.suffix import remove_repeated_bytes
 from corvane.llm.warc import archive_pages, remove_folder
 from corvane.session import cut_lineage, table
 
@@ -18,6 +20,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), budget=2, words_per_shingle=3)
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_bytes(table(spark, sf_dir, "documents"), size=100)
+    return left.select("doc_id", F.col("n_tokens").alias("n_bytes"), *_removed())
+
+
+def _removed() -> tuple[Column, Column, Column]:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -72,6 +84,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_passages(table(spark, sf_dir, "documents"), size=50)
+    return left.select("doc_id", F.col("n_tokens").alias("n_words"), *_removed())
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -86,8 +103,10 @@ FROM m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_array": op2_suffix_array,
     "op4_fingerprints": op4_fingerprints,
     "op6_chat": op6_chat,
+    "op7_passages": op7_passages,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
