@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.chat import format_conversations, loss_text, parse_formatted
+from corvane.llm.decontaminate import find_leaks
+from corvane.llm.lines import drop_lines, kept_digest
 from corvane.llm.minhash import fingerprint_edits
+from corvane.llm.packing import measure, pack
 from corvane.llm.passages import remove_repeated_passages
+from corvane.llm.quality import classify
 from corvane.llm.simhash import near_components
 from corvane.llm.suffix import remove_repeated_bytes
 from corvane.llm.warc import archive_pages, remove_folder
@@ -30,10 +34,51 @@ def _removed() -> tuple[Column, Column, Column]:
     return removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", kept_digest().alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(a, 1) AS k, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
+), t AS (
+  SELECT doc_id, k, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END
+    for x in string_split_regex(line, '[\x20\x09-\x0D]+') if x <> ''] AS m FROM l
+), p AS (
+  SELECT doc_id, k, m, len(m) || ' ' || array_to_string(m[1:3], ' ') AS leaf, array_to_string(m, ' ') AS masked
+  FROM t WHERE len(m) >= 4 AND 2 * len([x for x in m if x = '<*>']) <= len(m)
+), s AS (
+  SELECT leaf FROM p GROUP BY leaf HAVING count(DISTINCT masked) > 1
+), w AS (
+  SELECT leaf, place, min(token) = max(token) AS same FROM (
+    SELECT leaf, generate_subscripts(m, 1) AS place, unnest(m) AS token FROM (SELECT DISTINCT leaf, m FROM p SEMI JOIN s USING (leaf))
+  ) GROUP BY leaf, place
+), whole AS (
+  SELECT leaf FROM w GROUP BY leaf HAVING avg(CAST(same AS INT)) >= 0.7
+), n AS (
+  SELECT doc_id, k, CASE WHEN whole.leaf IS NULL THEN 'line ' || masked ELSE 'leaf ' || p.leaf END AS template
+  FROM p LEFT JOIN whole ON p.leaf = whole.leaf
+), o AS (
+  SELECT template, min(doc_id) AS first FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+), d AS (
+  SELECT n.doc_id, n.k FROM n JOIN o ON n.template = o.template WHERE n.doc_id <> o.first
+)
+SELECT l.doc_id, CASE WHEN bool_and(l.line = '') AND count(*) = 1 THEN 0 ELSE count(*) END AS n_lines, count(d.k) AS n_dropped,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (d.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.k = d.k GROUP BY l.doc_id
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(measure(table(spark, sf_dir, "documents")), capacity=2048, per_source=4)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql(
         "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
@@ -89,6 +134,14 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_tokens").alias("n_words"), *_removed())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -104,9 +157,13 @@ FROM m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
+    "op3_lines": op3_lines,
     "op4_fingerprints": op4_fingerprints,
+    "op5_packing": op5_packing,
     "op6_chat": op6_chat,
     "op7_passages": op7_passages,
+    "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_lines": OP3_SQL, "op6_chat": OP6_SQL, "op10_warc": OP10_SQL}

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import connected_components
+from corvane.llm.minhash import likeness, shingle_hashes, signature
 from corvane.session import cut_lineage, shuffle_width
 
 SEED = 42
@@ -252,8 +253,100 @@ def near_components(docs: DataFrame, budget: int = 2, words_per_shingle: int = 3
     )
 
 
-def keep_one(docs: DataFrame, budget: int = 2, words_per_shingle: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that stay: the document with the smallest id of each near-duplicate component."""
-    groups = near_components(docs.select(F.col(id_col).alias("doc_id"), "text"), budget, words_per_shingle)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+#: Shingles of a part on average, parts of a document that are looked up, and rows of a salted bucket's chain.
+PART_SHINGLES, PARTS, SALTS = 4, 12, 64
+NO_ID = -(2**63)
+
+
+def part_fingerprints(hashes: np.ndarray) -> list[int]:
+    """SimHash fingerprints of parts of a document: shingles dealt into ``2**level`` parts by their hashes.
+
+    The level follows the number of shingles, and a document near the next
+    level gives the parts of both, so documents of a similarity of 0.8 or more
+    always have a level in common; then most of their parts, of about four
+    shingles each, are equal. At most ``PARTS`` parts of a level are used.
+    """
+    h = np.unique(hashes)
+    out = []
+    for level in sorted({max(0, int(np.floor(np.log2(max(1.0, n / PART_SHINGLES))))) for n in (len(h), 1.25 * len(h))}):
+        part = (h & np.uint64((1 << level) - 1)).astype(np.int64)
+        for c in range(min(PARTS, 1 << level)):
+            own = h[part == c]
+            if len(own):
+                bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(own)
+                fp = int(np.packbits(bits, bitorder="little").view("<u8")[0])
+                out.append(xxhash.xxh64_intdigest(f"{level}:{c}:{len(own)}:{fp}", SEED) - 2**63)
+    return out
+
+
+def _sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``(id, same, fp, parts, codes)`` of each row; ``same`` identifies a sequence of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            same = pa.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts], pa.int64())
+            fps = pa.array(np.array([simhash(t, words_per_shingle) for t in texts], dtype=np.uint64).view(np.int64))
+            parts = pa.array([part_fingerprints(shingle_hashes(t, words_per_shingle)) for t in texts], pa.list_(pa.int64()))
+            codes = pa.array([signature(t)[0].tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, fps, parts, codes], ["id", "same", "fp", "parts", "codes"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, same long, fp long, parts array<long>, codes binary")
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([(np.frombuffer(c, np.uint8), True) for c in batch.column(n).to_pylist()] for n in ("x", "y"))
+            ok = pa.array([likeness(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return run
+
+
+def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words_per_shingle: int = 5) -> DataFrame:
+    """``(id, same, group_id)`` by row: documents linked at ``similarity`` of their word shingles or more.
+
+    Candidates are documents whose whole fingerprints are within ``budget``
+    bits (trie self-join) or that have an equal part fingerprint. In a bucket
+    of equal part fingerprints a document is held against the bucket's first
+    document and its neighbours in a salted order, never against all, so
+    candidates grow with the rows; each is verified by its MinHash codes. Equal sequences of words count once. ``group_id`` is the smallest id
+    of the group; null ids come before all others; texts without words are one
+    group.
+    """
+    rows = cut_lineage(_sketches(docs, words_per_shingle))
+    own = rows.groupBy("same").agg(F.min("id").alias("id"), *(F.min_by(c, "id").alias(c) for c in ("fp", "parts", "codes")))
+    own = cut_lineage(own)
+    parts = own.select("same", F.explode("parts").alias("p"))
+    heads = parts.groupBy("p").agg(F.min("same").alias("b"), F.count("*").alias("n")).where("n > 1").select("p", "b")
+    shared = parts.join(heads.withColumn("p", F.col("p").bitwiseXOR(F.lit(0).cast("long"))), "p")
+    beside = F.lag("same").over(Window.partitionBy("p", F.pmod("same", F.lit(SALTS))).orderBy("same"))
+    pairs = shared.select(F.col("same").alias("a"), "b").unionByName(shared.select(F.col("same").alias("a"), beside.alias("b")))
+    by_fp = own.groupBy("fp").agg(F.min("same").alias("b"))
+    near = near_edges(by_fp, budget).withColumnRenamed("a", "fp").join(by_fp.withColumnRenamed("b", "a"), "fp").select("a", F.col("b").alias("fp"))
+    near = near.join(by_fp, "fp").select("a", "b")
+    equal = own.select(F.col("same").alias("a"), "fp").join(by_fp.withColumn("fp", F.col("fp").bitwiseXOR(F.lit(0).cast("long"))), "fp").select("a", "b")
+    pairs = pairs.unionByName(near).unionByName(equal).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    codes = own.select("same", "codes")
+    both = pairs.join(codes.select(F.col("same").alias("a"), F.col("codes").alias("x")), "a").join(codes.select(F.col("same").alias("b"), F.col("codes").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    linked = connected_components(links)
+    named = own.select("same", "id").join(linked, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
+    named = cut_lineage(named)
+    lows = named.groupBy("root").agg(F.min("id").alias("group_id"))
+    named = named.join(lows, "root").select("same", "group_id")
+    return rows.select("id", "same").join(named, "same")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words_per_shingle: int = 5) -> DataFrame:
+    """Rows of ``docs`` that stay: of each group of near duplicates the document with the smallest id.
+
+    A null id counts as the smallest; rows that repeat the smallest id of a
+    group all stay; other columns pass through; an empty table stays empty.
+    """
+    groups = near_groups(docs, similarity, budget, words_per_shingle)
+    kept = groups.where("id = group_id").select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long")) == F.col("__kept"), "left_semi")
