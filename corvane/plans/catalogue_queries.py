@@ -296,3 +296,8 @@ _index("index_rows_quantity", "Part", Kind.QUANTITY, [f"SELECT 'Part' AS resourc
 _index("index_rows_date", "Order", Kind.DATE, ["SELECT 'Order' AS resource_type, CAST(o_orderkey AS VARCHAR) AS resource_id, 'date' AS name, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS value FROM orders WHERE o_orderdate IS NOT NULL"])
 _index("index_rows_datetime", "Event", Kind.DATETIME, ["SELECT 'Event' AS resource_type, CAST(event_id AS VARCHAR) AS resource_id, 'ts' AS name, epoch_us(ts) // 1000 AS value FROM events WHERE ts IS NOT NULL"])
 _index("index_rows_uri", "Page", Kind.URI, ["SELECT 'Page' AS resource_type, CAST(page_id AS VARCHAR) AS resource_id, 'url' AS name, url AS value FROM pages WHERE url IS NOT NULL"])
+
+from corvane.plans import changelog_queries  # noqa: E402  they come after the searches
+
+QUERIES.update(changelog_queries.QUERIES)
+ORACLE_SQL.update(changelog_queries.ORACLE_SQL)
