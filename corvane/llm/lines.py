@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, free_shuffles
 
 FIELD = b"<*>"
 LEADING, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 3, 0.7
@@ -67,8 +67,9 @@ def _apart(df: DataFrame, key: str) -> DataFrame:
 
 def merged_leaves(docs: DataFrame, lines: DataFrame, constant: float = CONSTANT) -> DataFrame:
     """``(leaf)`` of the leaves whose lines differ, but agree in at least a share ``constant`` of their positions."""
-    several = lines.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("leaf")
-    reps = lines.join(_apart(several, "leaf"), "leaf").groupBy("leaf", "key").agg(F.min(F.struct("doc", "line")).alias("at"))
+    reps = lines.groupBy("leaf", "key").agg(F.min(F.struct("doc", "line")).alias("at"))
+    several = reps.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    reps = reps.join(_apart(several, "leaf"), "leaf")
     wanted = reps.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set(F.struct("leaf", F.col("at.line").alias("line"))).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +91,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LE
     """``(doc, drops array<int>)``: the line numbers that each document loses; documents that lose none are left out."""
     lines = cut_lineage(parsed_lines(docs, leading, min_tokens))
     whole = cut_lineage(merged_leaves(docs, lines, constant)).withColumn("one", F.lit(True))
+    free_shuffles(docs.sparkSession)
     named = lines.join(whole, "leaf", "left").select(
         "doc", "line", F.when(F.col("one"), F.xxhash64("leaf")).otherwise(F.col("key")).alias("template")
     )

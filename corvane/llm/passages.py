@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import HOT_ANCHOR, Plan, merged, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, merged, without_repeats
 
 #: Words of candidate text for one automaton; whole anchors only.
 SHARD_WORDS = 200_000
@@ -84,7 +84,7 @@ def _compare(size: int, shard_words: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot_anchor: int = HOT_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(doc_id, n_tokens, spans, kept)`` for ``docs(doc_id, text)`` as words ``[^\\x20\\x09-\\x0D]+``.
 
     Every word covered by a window of ``size`` words whose sequence also starts
@@ -95,4 +95,4 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot
     all get its result; rows that share an id but not a text are judged
     together under that id.
     """
-    return without_repeats(docs, Plan(size, gram, True, True), _compare(size, shard_words), hot_anchor)
+    return without_repeats(docs, Plan(size, gram, True, True), _compare(size, shard_words), hot_anchor, batch_anchor)

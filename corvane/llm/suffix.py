@@ -7,7 +7,8 @@ the plain concatenation, round ``h`` orders the suffixes of all shards by their
 first ``h`` bytes, with one stable counting pass over the transform, and never
 compares or sorts suffixes again. A boundary that first shows in round ``h``
 marks a common prefix of ``h - 1`` bytes; after ``size`` rounds the stretches
-without a boundary are the repeated intervals.
+without a boundary are the repeated intervals. Deduplication needs these only, so
+it carries the rounds on inside the intervals that are left.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import HOT_ANCHOR, Plan, merged, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, merged, without_repeats
 
 SHARD_BYTES = 256 << 10
 MERGE_SHARDS = 8
@@ -31,27 +32,29 @@ def suffix_order(segs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     lists its positions by suffix, equal suffixes by segment.
     """
     lengths = np.array([len(x) for x in segs])
-    text = np.zeros(int(lengths.sum()) + len(segs) + 8, dtype=np.uint8)
-    begin = np.cumsum(lengths + 1) - (lengths + 1)
-    n = len(text) - 8
+    n = int(lengths.sum()) + len(segs)
     segment = np.repeat(np.arange(len(segs)), lengths + 1)
-    offset = np.arange(n) - begin[segment]
-    body = offset < lengths[segment]
-    text[:n][body] = np.frombuffer(b"".join(segs), dtype=np.uint8) + 1
+    offset = np.arange(n) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
     left = lengths[segment] - offset
-    rank = text[:n].astype(np.int64)
-    width, longest = 1, int(lengths.max(initial=0)) + 1
+    text = np.zeros(n, dtype=np.uint8)
+    text[left > 0] = np.frombuffer(b"".join(segs), dtype=np.uint8) + 1
+    spread = np.zeros(n + 8 * len(segs), dtype=np.uint8)  # eight zeros behind each segment, for keys of eight bytes
+    at = np.arange(n) + 7 * segment
+    spread[at] = text
+    key = np.ndarray((len(spread) - 7,), ">u8", spread, strides=(1,))[at].astype(np.uint64)
+    width, longest = 8, int(lengths.max(initial=0))
     while True:
-        key = rank * (int(rank.max()) + 2)
-        ahead = left >= width
-        key[ahead] += rank[np.flatnonzero(ahead) + width] + 1 if width > 1 else text[np.flatnonzero(ahead) + 1].astype(np.int64) + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         by = key[order]
-        fresh = np.zeros(n, dtype=np.int64)
-        fresh[order[1:]] = np.cumsum(by[1:] != by[:-1])
-        rank, width = fresh, width * 2
-        if width >= longest or int(rank.max(initial=0)) == n - 1:
-            return text[:n], order, segment, offset
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(by[1:] != by[:-1])])
+        if width > longest or rank.max(initial=0) == n - 1:
+            break
+        key = rank * np.int64(n + 1)
+        ahead = np.flatnonzero(left >= width)
+        key[ahead] += rank[ahead + width] + 1
+        width *= 2
+    return text, np.argsort(rank * np.int64(n) + np.arange(n)), segment, offset
 
 
 def transform(text: np.ndarray, order: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -59,6 +62,39 @@ def transform(text: np.ndarray, order: np.ndarray, offset: np.ndarray) -> np.nda
     return np.where(offset[order] == 0, 0, text[order - 1]).astype(np.uint8)
 
 
+def last_to_first(bwt: np.ndarray) -> np.ndarray:
+    """For each rank the rank of the suffix that begins one byte earlier, by one counting pass."""
+    out = np.empty(len(bwt), dtype=np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return out
+
+
+def repeated_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(index, interval)``: suffixes of all shards that share ``depth`` bytes with another, and which of them together.
+
+    The refinement of ``interleave``, carried on only inside intervals of two
+    or more: a suffix whose first bytes are its own keeps them to itself
+    whatever stands before it, so it can found no later interval.
+    """
+    starts = np.cumsum([0, *(len(t) for t in transforms)])
+    bwt = np.concatenate(transforms)
+    first = np.concatenate([last_to_first(t) + a for t, a in zip(transforms, starts, strict=False)])
+    at, block = np.arange(len(bwt)), np.zeros(len(bwt), dtype=np.int32)
+    for _ in range(depth):
+        before = bwt[at]
+        perm = np.argsort(before, kind="stable")
+        perm = perm[np.count_nonzero(before == 0) :]  # what stands before a segment begins no suffix
+        lead, last = before[perm], block[perm]
+        edge = np.ones(len(perm) + 1, dtype=bool)
+        edge[1:-1] = (lead[1:] != lead[:-1]) | (last[1:] != last[:-1])
+        stay = ~(edge[:-1] & edge[1:])
+        at = first[at[perm[stay]]]
+        block = np.cumsum(edge[:-1], dtype=np.int32)[stay]
+        if not len(at):
+            break
+    return at, block
+
+
 def interleave(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of the shards' suffixes by their first ``depth`` symbols.
 
@@ -106,16 +142,11 @@ def repeats(segs: list[bytes], doc: np.ndarray, start: np.ndarray, size: int, sh
         transforms.append(transform(text, order, offset))
         where.append(np.array(ids)[segment[order]])
         offsets.append(offset[order])
-    at, prefix = interleave(transforms, [len(x) for x in shards], size)
+    at, block = repeated_intervals(transforms, size)
     segment, offset = np.concatenate(where)[at], np.concatenate(offsets)[at]
-    block = np.cumsum(prefix < size)
-    long = np.zeros(len(block), dtype=bool)
-    long[1:] = block[1:] == block[:-1]
-    long[:-1] |= long[1:]
-    r = np.flatnonzero(long)
-    d, s = doc[segment[r]], start[segment[r]] + offset[r]
-    order = np.lexsort((s, d, block[r]))
-    b, d, s = block[r][order], d[order], s[order]
+    d, s = doc[segment], start[segment] + offset
+    order = np.lexsort((s, d, block))
+    b, d, s = block[order], d[order], s[order]
     new = np.ones(len(b), dtype=bool)
     new[1:] = b[1:] != b[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
@@ -149,7 +180,7 @@ def _compare(size: int, shard_bytes: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, size: int = 100, gram: int = 32, hot_anchor: int = HOT_ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, size: int = 100, gram: int = 32, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, n_tokens, spans, kept)`` for ``docs(doc_id, text)`` as UTF-8 bytes.
 
     Every byte covered by a ``size``-byte string that also starts earlier
@@ -159,4 +190,4 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 100, gram: int = 32, hot_
     Rows repeated whole count as one document and all get its result; rows
     that share an id but not a text are judged together under that id.
     """
-    return without_repeats(docs, Plan(size, gram, False, False), _compare(size, shard_bytes), hot_anchor)
+    return without_repeats(docs, Plan(size, gram, False, False), _compare(size, shard_bytes), hot_anchor, batch_anchor)

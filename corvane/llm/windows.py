@@ -10,6 +10,12 @@ anchor. Classes are settled by their hashes alone; only classes that share an
 anchor with another class go on to a comparison of their tokens (``needs``), one
 occurrence of each.
 
+Hot anchors are split up twice. A batch in which an anchor has very many different
+segments sends every window of them under its own hashes, and only a mark under the
+anchor; where a mark or very many classes meet, the anchor's other classes follow
+as windows too. All windows of an anchor that is split up so meet by their hashes,
+equal ones of a batch in one row, so no task gets all rows of a hot passage.
+
 A window is a repeat if it also starts earlier: at a smaller ``(doc, start)``, or,
 with ``strict``, in a smaller ``doc``.
 """
@@ -25,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage, shuffle_width
+from corvane.session import cut_lineage, free_shuffles, shuffle_width
 
-OCCURS, RANGE, NEED = 0, 1, 2
+OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK = range(6)
 ROWS = "kind byte, ah long, sh long, doc long, s int, e int"
 NAMES = ["kind", "ah", "sh", "doc", "s", "e"]
 NO_ID = -(2**63)
@@ -35,6 +41,8 @@ NO_ID = -(2**63)
 PIECE = 1 << 20
 #: Occurrences of one anchor that a task compares; above, its windows are dealt out by their own hashes.
 HOT_ANCHOR = 4000
+#: Different segments of one anchor that a batch of rows sends to the anchor's task; above, it sends windows and a mark.
+BATCH_ANCHOR = 32
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,8 +156,8 @@ def _repeat_mask(new_class: np.ndarray, doc: np.ndarray, s: np.ndarray, strict:
     return doc > doc[first] if strict else (doc != doc[first]) | (s != s[first])
 
 
-def combine(ah, sh, doc, s, e, strict: bool) -> Iterator[pa.RecordBatch]:
-    """Settles classes inside one batch: repeats become ranges, first occurrences go on."""
+def combine(ah, sh, doc, s, e, strict: bool, kind: int = OCCURS) -> Iterator[pa.RecordBatch]:
+    """Settles classes inside one batch: repeats become ranges, first occurrences go on as ``kind``."""
     order = np.argsort(ah)
     a = ah[order]
     same = np.zeros(len(a), dtype=bool)
@@ -166,11 +174,31 @@ def combine(ah, sh, doc, s, e, strict: bool) -> Iterator[pa.RecordBatch]:
         d, rs, re = merged(doc[gone], s[gone], e[gone])
         if len(d):
             yield _rows(RANGE, _mix(d.astype(np.int64).view(np.uint64) + _C), np.zeros(len(d), np.int64), d, rs, re)
-    yield _rows(OCCURS, ah[keep], sh[keep], doc[keep], s[keep], e[keep])
+    yield _rows(kind, ah[keep], sh[keep], doc[keep], s[keep], e[keep])
+
+
+def _window_hashes(tokens: np.ndarray, size: int, first: int, last: int) -> tuple[list[int], list[int]]:
+    """Two 64-bit hashes of each window that starts in ``[first, last]``."""
+    flat, u = memoryview(np.ascontiguousarray(tokens)).cast("B"), tokens.itemsize
+    both = [xxhash.xxh3_128_intdigest(flat[p * u : (p + size) * u]) for p in range(first, last + 1)]
+    return [h >> 64 for h in both], [h & (2**64 - 1) for h in both]
+
 
+def _as_windows(pieces: list[np.ndarray], piece, begin, end, doc, s, size: int) -> tuple[np.ndarray, ...]:
+    """``(ah, sh, doc, s, e)`` of every window of segments, whose tokens are ``pieces[piece][begin:end]``."""
+    high, low, docs, starts = [], [], [], []
+    for k, a, b, d, at in zip(piece.tolist(), begin.tolist(), end.tolist(), doc.tolist(), s.tolist(), strict=True):
+        h, x = _window_hashes(pieces[k], size, a, b - size)
+        high += h
+        low += x
+        docs += [d] * len(h)
+        starts += range(at, at + len(h))
+    starts = np.array(starts, dtype=np.int64)
+    return np.array(high, np.uint64), np.array(low, np.uint64), np.array(docs, np.int64), starts, starts + size
 
-def _occurrences(plan: Plan):
-    def pieces(ids: list, texts: list) -> Iterator[tuple[np.ndarray, ...]]:
+
+def _occurrences(plan: Plan, batch_anchor: int):
+    def pieces(ids: list, texts: list) -> Iterator[tuple[list, ...]]:
         held, docs, skips, size = [], [], [], 0
         for i, t in zip(ids, texts, strict=True):
             tokens = plan.tokens((t or "").encode())
@@ -191,29 +219,51 @@ def _occurrences(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            found = []
+            found, kept = [], []
             for held, docs, skips in pieces(ids, batch.column(1).to_pylist()):
                 text, s, e, ah, sh = segments(np.concatenate(held), np.array([len(x) for x in held]), plan)
                 at = np.array(skips)[text]
-                found.append((ah, sh, np.array(docs, dtype=np.int64)[text], s + at, e + at))
-            if found:
-                yield from combine(*(np.concatenate(c) for c in zip(*found, strict=True)), plan.strict)
+                found.append((ah, sh, np.array(docs, dtype=np.int64)[text], s + at, e + at, text + len(kept), s, e))
+                kept += held
+            if not found:
+                continue
+            ah, sh, doc, s, e, piece, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
+            classes = np.unique(np.stack([ah, sh]), axis=1)[0] if len(ah) > batch_anchor else ah[:0]
+            anchors, times = np.unique(classes, return_counts=True)
+            hot = anchors[times > batch_anchor]
+            if len(hot):
+                own = np.isin(ah, hot)
+                for rows in combine(*_as_windows(kept, piece[own], begin[own], end[own], doc[own], s[own], plan.size), plan.strict, WINDOW):
+                    yield rows
+                none = np.zeros(len(hot), np.int64)
+                yield _rows(MARK, hot, np.full(len(hot), NO_ID), none, none, none)
+                ah, sh, doc, s, e = (x[~own] for x in (ah, sh, doc, s, e))
+            yield from combine(ah, sh, doc, s, e, plan.strict)
 
     return run
 
 
-def _settle(strict: bool):
-    """Streams rows sorted by (ah, sh, doc, s): repeats of a class become ranges, classes that share an anchor needs."""
+def _settle(strict: bool, windows: bool = False):
+    """Streams rows sorted by (ah, sh, doc, s): repeats of a class become ranges, classes that share an anchor needs.
+
+    Classes of an anchor with a mark become hot needs. ``windows``: the rows
+    are windows under their own hashes, which have no needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # first occurrences of the last class
         told, mixed = False, False  # whether they were given out as needs; whether their anchor has other classes
+        marked: int | None = None  # the last anchor with a mark; marks come first in an anchor
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            passed = cols[0] == RANGE
-            if passed.any():
-                yield _rows(RANGE, *(c[passed] for c in cols[1:]))
-            ah, sh, doc, s, e = (c[~passed] for c in cols[1:])
+            marks = cols[1][cols[0] == MARK]
+            passed = (cols[0] == RANGE) | ((cols[0] == WINDOW) & (not windows))
+            for kind in np.unique(cols[0][passed]):
+                own = cols[0] == kind
+                yield _rows(int(kind), *(c[own] for c in cols[1:]))
+            ah, sh, doc, s, e = (c[~passed & (cols[0] != MARK)] for c in cols[1:])
+            hot_anchors = marks if marked is None else np.append(marks, marked)
+            marked = int(marks[-1]) if len(marks) else marked
             if not len(ah):
                 continue
             ghosts = 0
@@ -230,15 +280,17 @@ def _settle(strict: bool):
                 d, rs, re = merged(doc[gone], s[gone], e[gone])
                 yield _rows(RANGE, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, rs, re)
             at = np.flatnonzero(new_group)
-            many = np.add.reduceat(new_class.astype(np.int64), at) > 1
+            hot = np.isin(ah[at], hot_anchors)
+            many = (np.add.reduceat(new_class.astype(np.int64), at) > 1) | hot
             if ghosts and mixed:
                 many[0] = True
-            shared = np.repeat(many, np.diff(np.append(at, len(ah))))
-            need = shared & ~gone
+            each = np.diff(np.append(at, len(ah)))
+            need = np.repeat(many, each) & ~gone & (not windows)
             if ghosts and told:
                 need[:ghosts] = False
-            if need.any():
-                yield _rows(NEED, ah[need], sh[need], doc[need], s[need], e[need])
+            for kind, own in ((NEED, need & ~np.repeat(hot, each)), (HOT_NEED, need & np.repeat(hot, each))):
+                if own.any():
+                    yield _rows(kind, ah[own], sh[own], doc[own], s[own], e[own])
             begin = int(np.flatnonzero(new_class)[-1])
             stay = np.arange(begin, len(ah))[~gone[begin:]]
             mixed = told = bool(many[-1])
@@ -253,16 +305,12 @@ def _by_window(plan: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, s, seg in zip(*(batch.column(n).to_pylist() for n in ("doc", "s", "seg")), strict=True):
-                tokens = plan.tokens(seg)
-                flat, u = memoryview(np.ascontiguousarray(tokens)).cast("B"), tokens.itemsize
-                for p in range(len(tokens) - plan.size + 1):
-                    d = xxhash.xxh3_128_intdigest(flat[p * u : (p + plan.size) * u])
-                    rows.append((d >> 64, d & (2**64 - 1), doc, s + p, s + p + plan.size))
-            if rows:
-                ah, sh, doc, s, e = zip(*rows, strict=True)
-                yield from combine(np.array(ah, np.uint64), np.array(sh, np.uint64), np.array(doc, np.int64), np.array(s, np.int64), np.array(e, np.int64), plan.strict)
+            doc, s, seg = (batch.column(n).to_pylist() for n in ("doc", "s", "seg"))
+            if doc:
+                pieces = [plan.tokens(x) for x in seg]
+                none, end = np.zeros(len(doc), np.int64), np.array([len(x) for x in pieces])
+                rows = _as_windows(pieces, np.arange(len(doc)), none, end, np.array(doc, np.int64), np.array(s, np.int64), plan.size)
+                yield from combine(*rows, plan.strict, WINDOW)
 
     return run
 
@@ -295,7 +343,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR) -> DataFrame:
     """``(doc, ranges array<struct<s, e>>)``: token ranges covered by repeated windows; documents without any are left out.
 
     ``compare`` is a ``mapInArrow`` function over ``(ah, hot, doc, s, seg)``
@@ -303,17 +351,20 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
     also start earlier in another row with the same anchor.
     """
     texts = _keyed(docs)
-    rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan), ROWS)).mapInArrow(_settle(plan.strict), ROWS))
+    rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan.strict), ROWS))
+    free_shuffles(docs.sparkSession)
     ranges = rows.where(F.col("kind") == RANGE).select("doc", "s", "e")
-    needs = rows.where(F.col("kind") == NEED)
+    needs = rows.where(F.col("kind").isin(NEED, HOT_NEED)).withColumn("marked", F.col("kind") == HOT_NEED)
     hot = needs.groupBy("ah").count().where(F.col("count") > hot_anchor).select("ah", F.lit(True).alias("hot"))
-    needs = needs.join(hot, "ah", "left").select("doc", F.struct("ah", "s", "e", F.coalesce("hot", F.lit(False)).alias("hot")).alias("n"))
+    needs = needs.join(hot, "ah", "left").select("doc", F.struct("ah", "s", "e", F.coalesce("hot", "marked").alias("hot")).alias("n"))
     wanted = needs.groupBy("doc").agg(F.collect_set("n").alias("needs"))
     parts = texts.join(wanted, "doc").select("doc", "text", "needs").mapInArrow(_cut(plan), "ah long, hot boolean, doc long, s int, seg binary")
     parts = cut_lineage(parts.dropDuplicates(["ah", "doc", "s"]))
+    free_shuffles(docs.sparkSession)
     cold = parts.where("not hot").repartition(shuffle_width(docs.sparkSession), "ah").sortWithinPartitions("ah", "doc", "s")
     ranges = ranges.unionByName(cold.mapInArrow(compare, "doc long, s int, e int"))
-    by_window = _dealt(parts.where("hot").mapInArrow(_by_window(plan), ROWS)).mapInArrow(_settle(plan.strict), ROWS)
+    loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
+    by_window = _dealt(loose).mapInArrow(_settle(plan.strict, windows=True), ROWS)
     ranges = ranges.unionByName(by_window.where(F.col("kind") == RANGE).select("doc", "s", "e"))
     return ranges.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
@@ -331,7 +382,7 @@ def spans_of(ranges: list | None, length: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR) -> DataFrame:
     """``(doc_id, n_tokens, spans, kept)``: what is left of each text, and the token spans removed from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,6 +400,6 @@ def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
                 types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_tokens", "spans", "kept"])
 
-    found = repeated_ranges(docs, plan, compare, hot_anchor)
+    found = repeated_ranges(docs, plan, compare, hot_anchor, batch_anchor)
     both = _keyed(docs).join(found, "doc", "left").select("doc", "text", "ranges")
     return both.mapInArrow(run, "doc_id long, n_tokens long, spans array<struct<s: long, e: long>>, kept binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from corvane.llm.passages import remove_repeated_passages
-from corvane.llm.suffix import interleave, remove_repeated_bytes, repeats, suffix_order, transform
+from corvane.llm.suffix import interleave, remove_repeated_bytes, repeated_intervals, repeats, suffix_order, transform
 from corvane.llm.windows import Plan, segments, sliding_min
 
 
@@ -54,8 +54,9 @@ def test_bytes_match_brute_force(spark, seed, alphabet, hot):
     rows = list(zip(ids, texts, strict=True))
     rows[5] = (None, rows[5][1])
     docs = spark.createDataFrame([(i, t, "x", 0, "k") for i, t in [*rows, rows[0]]], "doc_id long, text string, s string, e int, kept string").repartition(3)
-    got = remove_repeated_bytes(docs, size=40, gram=8, hot_anchor=hot, shard_bytes=700).collect()
-    check([*rows, rows[0]], got, 40, False, False)
+    for batch in (32, 1):
+        got = remove_repeated_bytes(docs, size=40, gram=8, hot_anchor=hot, batch_anchor=batch, shard_bytes=700).collect()
+        check([*rows, rows[0]], got, 40, False, False)
 
 
 @pytest.mark.parametrize(("seed", "hot"), [(1, 4000), (2, 1), (5, 3)])
@@ -64,8 +65,9 @@ def test_words_match_brute_force(spark, seed, hot):
     texts = [None if t is None else " ".join(t) if rnd.random() < 0.9 else "\n".join(t) for t in corpus(seed, "abcdefg", most=60)]
     rows = list(zip(rnd.sample(range(1000), len(texts)), texts, strict=True))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, doc string").repartition(3)
-    got = remove_repeated_passages(docs, size=12, gram=4, hot_anchor=hot, shard_words=60).collect()
-    check(rows, got, 12, True, True)
+    for batch in (32, 1, 3):
+        got = remove_repeated_passages(docs, size=12, gram=4, hot_anchor=hot, batch_anchor=batch, shard_words=60).collect()
+        check(rows, got, 12, True, True)
 
 
 def test_production_sizes(spark):
@@ -105,6 +107,22 @@ def test_interleave_merges_transforms_without_sorting():
         assert prefix[k] == common
 
 
+def test_repeated_intervals_are_those_of_the_whole_merge():
+    rnd = random.Random(7)
+    segs = ["".join(rnd.choices("abc", k=rnd.randint(0, 60))).encode() for _ in range(40)]
+    segs += [segs[3] + b"x" + segs[9], segs[3]]
+    shards = [segs[:11], segs[11:12], segs[12:]]
+    bwts = [transform(t, o, f) for t, o, _, f in map(suffix_order, shards)]
+    for depth in (1, 3, 9, 20):
+        at, prefix = interleave(bwts, [len(p) for p in shards], depth)
+        whole, own = {}, {}
+        for k, i in zip(np.cumsum(prefix < depth), at, strict=True):
+            whole.setdefault(k, set()).add(int(i))
+        for k, i in zip(*reversed(repeated_intervals(bwts, depth)), strict=True):
+            own.setdefault(k, set()).add(int(i))
+        assert {frozenset(x) for x in own.values()} == {frozenset(x) for x in whole.values() if len(x) > 1}
+
+
 def test_segments_own_every_window_once_and_agree_on_equal_windows():
     rnd = random.Random(1)
     plan = Plan(20, 8, False, False)
