@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,9 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files that no live plan reads any more; it acts on the driver's collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the context cleaner delete shuffle files that no live plan reads any more.
+
+    It acts when the driver's JVM collects a plan, which it can only do once
+    Python's references to that plan are gone; these are given up by a
+    background thread, hence the pauses and the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def shuffle_width(spark: SparkSession) -> int:
