@@ -11,17 +11,19 @@ is pruned as soon as its bits exceed the budget.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import connected_components
-from corvane.llm.minhash import likeness, shingle_hashes, signature
-from corvane.session import cut_lineage, shuffle_width
+from corvane.llm.minhash import shingle_hashes
+from corvane.llm.warc import remove_folder
+from corvane.session import cut_lineage, shared_dir, shuffle_width
 
 SEED = 42
 #: Rows of one trie root that a task takes; larger roots are split a few bits deeper.
@@ -253,89 +255,184 @@ def near_components(docs: DataFrame, budget: int = 2, words_per_shingle: int = 3
     )
 
 
-#: Shingles of a part on average, parts of a document that are looked up, and rows of a salted bucket's chain.
-PART_SHINGLES, PARTS, SALTS = 4, 12, 64
+#: One document in so many shows which shingles are common; at most so many of them are told to the tasks.
+SAMPLE, COMMON = 8, 1 << 18
+#: Pairs left in all buckets that are compared at once; above, so many times more documents of a bucket take their turn in each round.
+PAIRS, FASTER = 2_000_000, 8
 NO_ID = -(2**63)
 
 
-def part_fingerprints(hashes: np.ndarray) -> list[int]:
-    """SimHash fingerprints of parts of a document: shingles dealt into ``2**level`` parts by their hashes.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.col("text").cast("string").alias("text"))
 
-    The level follows the number of shingles, and a document near the next
-    level gives the parts of both, so documents of a similarity of 0.8 or more
-    always have a level in common; then most of their parts, of about four
-    shingles each, are equal. At most ``PARTS`` parts of a level are used.
+
+def _same(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split())) - 2**63
+
+
+def common_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the documents, ascending, and their ranks, the rarest first.
+
+    They only set the order in which shingles are looked up. Any one order
+    finds all pairs; with common shingles last, few others come along.
     """
-    h = np.unique(hashes)
-    out = []
-    for level in sorted({max(0, int(np.floor(np.log2(max(1.0, n / PART_SHINGLES))))) for n in (len(h), 1.25 * len(h))}):
-        part = (h & np.uint64((1 << level) - 1)).astype(np.int64)
-        for c in range(min(PARTS, 1 << level)):
-            own = h[part == c]
-            if len(own):
-                bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(own)
-                fp = int(np.packbits(bits, bitorder="little").view("<u8")[0])
-                out.append(xxhash.xxh64_intdigest(f"{level}:{c}:{len(own)}:{fp}", SEED) - 2**63)
-    return out
-
-
-def _sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """``(id, same, fp, parts, codes)`` of each row; ``same`` identifies a sequence of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(shingle_hashes(t or "", words_per_shingle)) for t in batch.column(1).to_pylist()]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    rows = _keyed(docs).where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
+    often = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    h = often.select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    return h[by], (len(h) - 1 - by).astype(np.int32)
+
+
+def looked_up(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a document of which any document of that similarity has at least one among its own.
+
+    Both share at least ``similarity`` of the document's shingles, so the first
+    of these, in an order that holds for all documents, is among the first
+    ``n - ceil(similarity * n) + 1`` of either (prefix filter). ``hashes`` are
+    distinct and ascending.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    known, ranks = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, ranks[at], -1)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, words_per_shingle: int) -> DataFrame:
+    """``(id, same, fp, n, looks)`` of each row; ``same`` identifies a sequence of words, ``n`` counts its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            same = pa.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts], pa.int64())
+            same = pa.array([_same(t) for t in texts], pa.int64())
             fps = pa.array(np.array([simhash(t, words_per_shingle) for t in texts], dtype=np.uint64).view(np.int64))
-            parts = pa.array([part_fingerprints(shingle_hashes(t, words_per_shingle)) for t in texts], pa.list_(pa.int64()))
-            codes = pa.array([signature(t)[0].tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, fps, parts, codes], ["id", "same", "fp", "parts", "codes"])
+            held = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
+            n = pa.array([len(h) for h in held], pa.int64())
+            looks = pa.array([looked_up(h, common, similarity).view(np.int64) for h in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, fps, n, looks], ["id", "same", "fp", "n", "looks"])
+
+    return _keyed(docs).mapInArrow(run, "id long, same long, fp long, n long, looks array<long>")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``(same, h)``: the shingles, ascending, of the documents with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, words_per_shingle)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_same(t) for t in texts], pa.int64()), pa.array(sets, pa.binary())], ["same", "h"])
+
+    return _keyed(docs).join(ids, "id", "left_semi").mapInArrow(run, "same long, h binary").dropDuplicates(["same"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, same long, fp long, parts array<long>, codes binary")
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of distinct shingles; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([(np.frombuffer(c, np.uint8), True) for c in batch.column(n).to_pylist()] for n in ("x", "y"))
-            ok = pa.array([likeness(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
+            x, y = ([np.frombuffer(h, np.uint64) for h in batch.column(n).to_pylist()] for n in ("x", "y"))
+            ok = pa.array([jaccard(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(ok)
 
     return run
 
 
+def _apart(df: DataFrame, key: str) -> DataFrame:
+    """Hide an aggregate's partitioning, so that AQE can split a hot key's side of the join."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
+def _stored(df: DataFrame, folder: str) -> DataFrame:
+    """Written and read again: a checkpoint would keep the planner's size estimate, whose digits multiply by each round's joins."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """``(a, b)`` of the pairs that are alike by all their shingles."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("same").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("h").alias("y")), "b")
+    return _stored(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), folder)
+
+
+def _across(shared: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """``(p, same, n, turn, root, rows, most)`` of the buckets that hold several components, ``most`` being the largest of them."""
+    named = shared.join(_apart(connected_components(links), "node"), F.col("same") == F.col("node"), "left")
+    named = named.select("p", "same", "n", "turn", F.coalesce("component", "same").alias("root"))
+    counts = named.groupBy("p", "root").agg(F.count("*").alias("c"))
+    split = counts.groupBy("p").agg(F.count("*").alias("roots"), F.sum("c").alias("rows"), F.max_by("root", F.struct("c", "root")).alias("most"))
+    return _stored(named.join(_apart(split.where("roots > 1"), "p").drop("roots"), "p"), folder)
+
+
 def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words_per_shingle: int = 5) -> DataFrame:
-    """``(id, same, group_id)`` by row: documents linked at ``similarity`` of their word shingles or more.
+    """``(id, same, group_id)`` by row: the components of all links of ``similarity`` of the word shingles or more.
 
     Candidates are documents whose whole fingerprints are within ``budget``
-    bits (trie self-join) or that have an equal part fingerprint. In a bucket
-    of equal part fingerprints a document is held against the bucket's first
-    document and its neighbours in a salted order, never against all, so
-    candidates grow with the rows; each is verified by its MinHash codes. Equal sequences of words count once. ``group_id`` is the smallest id
+    bits (trie self-join) or that have a shingle in common among those that
+    they look up; the latter misses no link. Each candidate is verified by all
+    its shingles. In a bucket of one shingle all documents are first held
+    against one; then those in different components against each other, round
+    by round if they are many, until all pairs of a bucket are in one component
+    or have been compared. So a large group of copies costs no square of its
+    size. Equal sequences of words count once. ``group_id`` is the smallest id
     of the group; null ids come before all others; texts without words are one
     group.
     """
-    rows = cut_lineage(_sketches(docs, words_per_shingle))
-    own = rows.groupBy("same").agg(F.min("id").alias("id"), *(F.min_by(c, "id").alias(c) for c in ("fp", "parts", "codes")))
+    rows = cut_lineage(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle))
+    own = rows.groupBy("same").agg(F.min("id").alias("id"), *(F.min_by(c, "id").alias(c) for c in ("fp", "n", "looks")))
     own = cut_lineage(own)
-    parts = own.select("same", F.explode("parts").alias("p"))
-    heads = parts.groupBy("p").agg(F.min("same").alias("b"), F.count("*").alias("n")).where("n > 1").select("p", "b")
-    shared = parts.join(heads.withColumn("p", F.col("p").bitwiseXOR(F.lit(0).cast("long"))), "p")
-    beside = F.lag("same").over(Window.partitionBy("p", F.pmod("same", F.lit(SALTS))).orderBy("same"))
-    pairs = shared.select(F.col("same").alias("a"), "b").unionByName(shared.select(F.col("same").alias("a"), beside.alias("b")))
+    looks = own.select("same", "n", F.explode("looks").alias("p"))
+    heads = looks.groupBy("p").agg(F.min(F.struct(F.xxhash64("same").alias("turn"), "same")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    shared = cut_lineage(looks.join(_apart(heads, "p"), "p").select("p", "same", "n", F.col("head.same").alias("head"), F.xxhash64("same").alias("turn")))
     by_fp = own.groupBy("fp").agg(F.min("same").alias("b"))
     near = near_edges(by_fp, budget).withColumnRenamed("a", "fp").join(by_fp.withColumnRenamed("b", "a"), "fp").select("a", F.col("b").alias("fp"))
     near = near.join(by_fp, "fp").select("a", "b")
-    equal = own.select(F.col("same").alias("a"), "fp").join(by_fp.withColumn("fp", F.col("fp").bitwiseXOR(F.lit(0).cast("long"))), "fp").select("a", "b")
-    pairs = pairs.unionByName(near).unionByName(equal).where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    codes = own.select("same", "codes")
-    both = pairs.join(codes.select(F.col("same").alias("a"), F.col("codes").alias("x")), "a").join(codes.select(F.col("same").alias("b"), F.col("codes").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+    equal = own.select(F.col("same").alias("a"), "fp").join(_apart(by_fp, "fp"), "fp").select("a", "b")
+    first = cut_lineage(near.unionByName(equal).where("a <> b").unionByName(shared.select(F.col("same").alias("a"), F.col("head").alias("b")).where("a <> b")).distinct())
+    seen = first.select(F.col("a").alias("same")).unionByName(first.select(F.col("b").alias("same"))).distinct()
+    sets = cut_lineage(_sets(docs, own.select("same", "id").join(seen, "same", "left_semi").select("id").distinct(), words_per_shingle))
+    folder = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
+    links = _links(first, sets, similarity, folder)
+    shared, done, turns = shared.drop("head"), 0, FASTER
+    while True:
+        left = _across(shared, links, folder)
+        # At least one document of a pair is outside the bucket's largest component.
+        # They take their turns in the order of a hash, about ``turns`` of a bucket before the mark.
+        share = (F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("rows")
+        few = left.where((F.col("root") != F.col("most")) & (share >= done))
+        total = few.agg(F.sum("rows")).first()[0] or 0
+        if not total:
+            break
+        last = total <= PAIRS
+        mine = few if last else few.where(share < turns)
+        mine = mine.select("p", F.col("same").alias("a"), F.col("n").alias("m"), F.col("root").alias("own"))
+        pairs = mine.join(left.select("p", F.col("same").alias("b"), "n", "root"), "p")
+        pairs = pairs.where((F.col("own") != F.col("root")) & (F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)).select("a", "b")
+        links = links.unionByName(_links(pairs, sets, similarity, folder))
+        done, turns = turns, turns * FASTER
+        if last:
+            break
     linked = connected_components(links)
     named = own.select("same", "id").join(linked, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
     named = cut_lineage(named)
+    remove_folder(docs.sparkSession, folder)
     lows = named.groupBy("root").agg(F.min("id").alias("group_id"))
     named = named.join(lows, "root").select("same", "group_id")
     return rows.select("id", "same").join(named, "same")
