@@ -35,3 +35,12 @@ def test_chains_of_changed_copies(spark):
             for i in rnd.sample(range(300), 5):
                 w[i] = words(rnd, 1)[0]
     assert found(spark, texts) == components(texts)
+
+
+def test_short_texts(spark):
+    rnd, texts = random.Random(12), []
+    for n in (8, 9, 10, 16) * 10:
+        w = words(rnd, n)
+        texts += [" ".join(w), " ".join(w + words(rnd, 1) if n < 16 else words(rnd, 1) + w[1:])]
+    want = components(texts)
+    assert len(set(want)) == 40 and found(spark, texts) == want
