@@ -44,3 +44,15 @@ def test_short_texts(spark):
         texts += [" ".join(w), " ".join(w + words(rnd, 1) if n < 16 else words(rnd, 1) + w[1:])]
     want = components(texts)
     assert len(set(want)) == 40 and found(spark, texts) == want
+
+
+def test_long_texts_with_scattered_changes(spark):
+    rnd, texts = random.Random(13), []
+    for _ in range(100):
+        w = words(rnd, 400)
+        texts.append(" ".join(w))
+        for i in rnd.sample(range(400), 8):
+            w[i] = words(rnd, 1)[0]
+        texts.append(" ".join(w))
+    want = [i - i % 2 for i in range(200)]
+    assert found(spark, texts) == want
