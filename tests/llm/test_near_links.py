@@ -56,3 +56,12 @@ def test_long_texts_with_scattered_changes(spark):
         texts.append(" ".join(w))
     want = [i - i % 2 for i in range(200)]
     assert found(spark, texts) == want
+
+
+def test_links_at_the_threshold(spark):
+    rnd, texts, want = random.Random(14), [], []
+    for cut in (20, 21, 22) * 20:
+        w = words(rnd, 104)
+        texts += [" ".join(w), " ".join(w[:-cut])]
+        want += [len(want), len(want) + (cut > 20)]
+    assert found(spark, texts) == want
