@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corvane.llm.graph import connected_components
 from corvane.llm.minhash import shingle_hashes
 from corvane.llm.warc import remove_folder
-from corvane.session import cut_lineage, shared_dir, shuffle_width
+from corvane.session import cut_lineage, free_shuffles, shared_dir, shuffle_width
 
 SEED = 42
 #: Rows of one trie root that a task takes; larger roots are split a few bits deeper.
@@ -256,9 +256,11 @@ def near_components(docs: DataFrame, budget: int = 2, words_per_shingle: int = 3
 
 
 #: One document in so many shows which shingles are common; at most so many of them are told to the tasks.
-SAMPLE, COMMON = 8, 1 << 18
+SAMPLE, COMMON = 32, 1 << 18
 #: Pairs left in all buckets that are compared at once; above, so many times more documents of a bucket take their turn in each round.
 PAIRS, FASTER = 2_000_000, 8
+#: Bits that tell the tasks which documents are in some pair. A fixed size: when they are full, more documents than needed are sent.
+MARKED_BITS = 1 << 23
 NO_ID = -(2**63)
 
 
@@ -284,7 +286,7 @@ def common_shingles(docs: DataFrame, words_per_shingle: int) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     rows = _keyed(docs).where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
-    often = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    often = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON)
     h = often.select("h").toArrow().column("h").to_numpy().view(np.uint64)
     by = np.argsort(h)
     return h[by], (len(h) - 1 - by).astype(np.int32)
@@ -325,16 +327,42 @@ def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
     return _keyed(docs).mapInArrow(run, "id long, same long, fp long, n long, looks array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words_per_shingle: int) -> DataFrame:
-    """``(same, h)``: the shingles, ascending, of the documents with these ids."""
+def marked(keys: DataFrame, bits: int = MARKED_BITS) -> bytes:
+    """A bitmap of ``bits`` places with one for each long in the only column, gathered in slices of bounded size."""
+    place = F.pmod(keys[keys.columns[0]], F.lit(bits))
+    slices = keys.select(F.shiftright(place, 16).alias("slice"), (place % 65536).cast("int").alias("at")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sets = [np.unique(shingle_hashes(t, words_per_shingle)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_same(t) for t in texts], pa.int64()), pa.array(sets, pa.binary())], ["same", "h"])
+            for k, x in zip(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), strict=True):
+                held.setdefault(int(k), np.zeros(65536, dtype=bool))[x] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([np.packbits(x).tobytes() for x in held.values()])], ["slice", "bits"])
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slices.repartition(shuffle_width(keys.sparkSession), "slice").mapInArrow(run, "slice long, bits binary").toLocalIterator():
+        out[r["slice"] * 8192 : (r["slice"] + 1) * 8192] |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _sets(docs: DataFrame, same: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``(same, h)``: the shingles, ascending, of texts among which are all in the only column of ``same``."""
+    sent = docs.sparkSession.sparkContext.broadcast(marked(same))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        for batch in batches:
+            names, sets = [], []
+            for t in batch.column(0):
+                text = t.as_py() or ""
+                name = _same(text)
+                if wanted[name % len(wanted)]:
+                    names.append(name)
+                    sets.append(np.unique(shingle_hashes(text, words_per_shingle)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["same", "h"])
 
-    return _keyed(docs).join(ids, "id", "left_semi").mapInArrow(run, "same long, h binary").dropDuplicates(["same"])
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "same long, h binary").dropDuplicates(["same"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -365,11 +393,18 @@ def _stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: float, folder: str) -> DataFrame:
-    """``(a, b)`` of the pairs that are alike by all their shingles."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("same").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("h").alias("y")), "b")
-    return _stored(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), folder)
+def _links(pairs: DataFrame, docs: DataFrame, similarity: float, words_per_shingle: int, folder: str) -> DataFrame:
+    """``(a, b)`` of the pairs that are alike by all their shingles; ``b`` should have the fewer different values."""
+    pairs = _stored(pairs.where("a <> b").distinct(), folder)
+    x = _sets(docs, pairs.select("a"), words_per_shingle).withColumnsRenamed({"same": "a", "h": "x"})
+    y = _sets(docs, pairs.select("b"), words_per_shingle).withColumnsRenamed({"same": "b", "h": "y"})
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return _stored(both.mapInArrow(_alike(similarity), "a long, b long"), folder)
+
+
+def _length_fits(similarity: float) -> F.Column:
+    """Sets of ``m`` and ``n`` shingles can be that similar."""
+    return F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9
 
 
 def _across(shared: DataFrame, links: DataFrame, folder: str) -> DataFrame:
@@ -395,22 +430,25 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
     of the group; null ids come before all others; texts without words are one
     group.
     """
-    rows = cut_lineage(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle))
-    own = rows.groupBy("same").agg(F.min("id").alias("id"), *(F.min_by(c, "id").alias(c) for c in ("fp", "n", "looks")))
-    own = cut_lineage(own)
-    looks = own.select("same", "n", F.explode("looks").alias("p"))
-    heads = looks.groupBy("p").agg(F.min(F.struct(F.xxhash64("same").alias("turn"), "same")).alias("head"), F.count("*").alias("k")).where("k > 1")
-    shared = cut_lineage(looks.join(_apart(heads, "p"), "p").select("p", "same", "n", F.col("head.same").alias("head"), F.xxhash64("same").alias("turn")))
+    folder = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
+    rows = _stored(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle), folder)
+    own = _stored(rows.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")), folder)
+    looks = rows.select("same", F.explode("looks").alias("p"))
+    heads = looks.groupBy("p").agg(F.min("same").alias("head"), F.max("same").alias("other")).where("head < other").select("p", "head")
+    heads = _stored(heads, folder)
+    free_shuffles(docs.sparkSession)
+    shared = _stored(looks.join(_apart(heads, "p"), "p").select("p", "same", "head").distinct(), folder)
+    free_shuffles(docs.sparkSession)
     by_fp = own.groupBy("fp").agg(F.min("same").alias("b"))
     near = near_edges(by_fp, budget).withColumnRenamed("a", "fp").join(by_fp.withColumnRenamed("b", "a"), "fp").select("a", F.col("b").alias("fp"))
     near = near.join(by_fp, "fp").select("a", "b")
     equal = own.select(F.col("same").alias("a"), "fp").join(_apart(by_fp, "fp"), "fp").select("a", "b")
-    first = cut_lineage(near.unionByName(equal).where("a <> b").unionByName(shared.select(F.col("same").alias("a"), F.col("head").alias("b")).where("a <> b")).distinct())
-    seen = first.select(F.col("a").alias("same")).unionByName(first.select(F.col("b").alias("same"))).distinct()
-    sets = cut_lineage(_sets(docs, own.select("same", "id").join(seen, "same", "left_semi").select("id").distinct(), words_per_shingle))
-    folder = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
-    links = _links(first, sets, similarity, folder)
-    shared, done, turns = shared.drop("head"), 0, FASTER
+    size = own.select("same", "n")
+    first = near.unionByName(equal).unionByName(shared.select(F.col("same").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
+    first = first.join(size.withColumnsRenamed({"same": "a", "n": "m"}), "a").join(size.withColumnRenamed("same", "b"), "b").where(_length_fits(similarity)).select("a", "b")
+    links = _links(first, docs, similarity, words_per_shingle, folder)
+    shared = shared.drop("head").join(size, "same").withColumn("turn", F.xxhash64("same"))
+    done, turns = 0, FASTER
     while True:
         left = _across(shared, links, folder)
         # At least one document of a pair is outside the bucket's largest component.
@@ -424,18 +462,19 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
         mine = few if last else few.where(share < turns)
         mine = mine.select("p", F.col("same").alias("a"), F.col("n").alias("m"), F.col("root").alias("own"))
         pairs = mine.join(left.select("p", F.col("same").alias("b"), "n", "root"), "p")
-        pairs = pairs.where((F.col("own") != F.col("root")) & (F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)).select("a", "b")
-        links = links.unionByName(_links(pairs, sets, similarity, folder))
+        pairs = pairs.where((F.col("own") != F.col("root")) & _length_fits(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.unionByName(_links(pairs, docs, similarity, words_per_shingle, folder))
         done, turns = turns, turns * FASTER
         if last:
             break
     linked = connected_components(links)
     named = own.select("same", "id").join(linked, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
     named = cut_lineage(named)
+    rows = cut_lineage(rows.select("id", "same"))
     remove_folder(docs.sparkSession, folder)
     lows = named.groupBy("root").agg(F.min("id").alias("group_id"))
     named = named.join(lows, "root").select("same", "group_id")
-    return rows.select("id", "same").join(named, "same")
+    return rows.join(named, "same")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words_per_shingle: int = 5) -> DataFrame:
