@@ -1,13 +1,15 @@
 """Line deduplication with a log-template tree.
 
-Lines are parsed by a tree of fixed depth: first by token count, then by the
-leading tokens, where a token with a digit is a variable field. A leaf thus
-holds lines of one length and beginning. If most positions of a leaf's lines
-are constant, the other positions are variable fields too and the leaf is one
-template; else each of its lines (with its fields) is a template of its own.
-Lines of which more than half is fields (rows of numbers) are no templates.
-Templates that recur in ``min_docs`` documents are dropped from all of them but
-the document with the smallest id.
+Lines are parsed by a tree of fixed depth: token count, then the leading
+tokens, where a token with a digit is a variable field, then the part of the
+line that varies. A line so has several templates: itself with its fields, and,
+for each of ``PARTS`` parts of what follows the leading tokens, the line with
+that part as one variable field. The first recurs if it stands in two documents;
+one with a variable part if it stands in ``MIN_DOCS``, which tells a field from
+two sentences with one beginning. A line of which more than half is fields (a
+row of numbers) says too little without them and is its own only template, as it
+stands. A line goes if one of its templates recurs and stands in a document
+with a smaller id. Whether it goes does not depend on what else is in its leaf.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage, free_shuffles
+from corvane.session import cut_lineage
 
 FIELD = b"<*>"
-LEADING, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 3, 0.7
+LEADING, PARTS, MIN_DOCS = 3, 4, 3
 DIGIT = re.compile(rb"[0-9]")
 NO_ID = -(2**63)
 
@@ -34,30 +37,45 @@ def masked_tokens(line: bytes) -> list[bytes]:
     return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
-def _hash(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - 2**63
+def templates(line: bytes, leading: int = LEADING, parts: int = PARTS) -> list[bytes]:
+    """Names of a line's templates, the line's own first; none for a blank line."""
+    tokens = masked_tokens(line)
+    n = len(tokens)
+    if not n:
+        return []
+    if 2 * tokens.count(FIELD) > n:
+        return [b"row " + b" ".join(line.split())]
+    out, rest = [b"line " + b" ".join(tokens)], n - leading
+    for j in range(parts if rest > 0 else 0):
+        a, b = leading + j * rest // parts, leading + (j + 1) * rest // parts
+        if a < b:
+            out.append(b"%d %d " % (n, j) + b" ".join(tokens[:a] + tokens[b:]))
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.xxhash64(text).alias("own"), text.alias("text"))
 
 
-def parsed_lines(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``(doc, line, leaf, key)``: tree leaf and masked-line hash of each line of at least ``min_tokens`` tokens."""
+def parsed_lines(docs: DataFrame, leading: int = LEADING, parts: int = PARTS) -> DataFrame:
+    """``(doc, own, line, template, general)`` for each template of each line; ``own`` is the hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
-            out = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in enumerate((text or "").encode().split(b"\n")):
-                    tokens = masked_tokens(line)
-                    if len(tokens) >= min_tokens and 2 * tokens.count(FIELD) <= len(tokens):
-                        out.append((doc, k, _hash(b"%d " % len(tokens) + b" ".join(tokens[:leading])), _hash(b" ".join(tokens))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc", "line", "leaf", "key"])
+            rows, lines, names, general = [], [], [], []
+            for row, text in enumerate(batch.column(2)):
+                for k, line in enumerate(text.as_py().encode().split(b"\n")):
+                    found = templates(line, leading, parts)
+                    rows += [row] * len(found)
+                    lines += [k] * len(found)
+                    names += map(xxhash.xxh3_64_intdigest, found)
+                    general += [x > 0 for x in range(len(found))]
+            at = pa.array(rows, pa.int64())
+            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(general, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "own", "line", "template", "general"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, line int, leaf long, key long")
+    return _keyed(docs).mapInArrow(run, "doc long, own long, line int, template long, general boolean")
 
 
 def _apart(df: DataFrame, key: str) -> DataFrame:
@@ -65,62 +83,35 @@ def _apart(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def merged_leaves(docs: DataFrame, lines: DataFrame, constant: float = CONSTANT) -> DataFrame:
-    """``(leaf)`` of the leaves whose lines differ, but agree in at least a share ``constant`` of their positions."""
-    reps = lines.groupBy("leaf", "key").agg(F.min(F.struct("doc", "line")).alias("at"))
-    several = reps.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    reps = reps.join(_apart(several, "leaf"), "leaf")
-    wanted = reps.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set(F.struct("leaf", F.col("at.line").alias("line"))).alias("wanted"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = (text or "").encode().split(b"\n")
-                out += [(w["leaf"], k, _hash(t)) for w in wanted if w["line"] < len(lines) for k, t in enumerate(masked_tokens(lines[w["line"]]))]
-            if out:
-                types = (pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["leaf", "place", "token"])
-
-    tokens = _keyed(docs).join(wanted, "doc").select("text", "wanted").mapInArrow(run, "leaf long, place int, token long")
-    places = tokens.groupBy("leaf", "place").agg((F.min("token") == F.max("token")).cast("int").alias("same"))
-    return places.groupBy("leaf").agg(F.avg("same").alias("share")).where(F.col("share") >= constant).select("leaf")
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
-    """``(doc, drops array<int>)``: the line numbers that each document loses; documents that lose none are left out."""
-    lines = cut_lineage(parsed_lines(docs, leading, min_tokens))
-    whole = cut_lineage(merged_leaves(docs, lines, constant)).withColumn("one", F.lit(True))
-    free_shuffles(docs.sparkSession)
-    named = lines.join(whole, "leaf", "left").select(
-        "doc", "line", F.when(F.col("one"), F.xxhash64("leaf")).otherwise(F.col("key")).alias("template")
-    )
-    spread = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    often = _apart(spread.where(F.col("n") >= min_docs), "template").select("template", "first")
-    lost = named.join(often, "template").where("doc <> first")
-    return lost.groupBy("doc").agg(F.collect_set("line").alias("drops"))
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, parts: int = PARTS) -> DataFrame:
+    """``(doc, own, drops array<int>)``: the line numbers that each text loses; texts that lose none are left out."""
+    lines = cut_lineage(parsed_lines(docs, leading, parts))
+    spread = lines.select("template", "general", "doc").distinct().groupBy("template", "general").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+    often = spread.where(F.col("n") >= F.when(F.col("general"), F.lit(min_docs)).otherwise(2)).select("template", "first")
+    lost = lines.select("doc", "own", "line", "template").join(_apart(often, "template"), "template").where("doc <> first")
+    return lost.groupBy("doc", "own").agg(F.collect_set("line").alias("drops"))
 
 
 def drop_lines(docs: DataFrame, **rules) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and the columns ``n_lines`` and ``n_dropped``.
 
-    Lines are separated by a line feed; lines of fewer than ``min_tokens``
-    tokens, blank ones included, and rows of numbers always stay. Null texts become empty (no line); rows
-    without an id share one id, before all others; rows repeated whole count as
-    one document; rows that share an id but not a text are judged together
-    under that id; other columns pass through (``n_lines`` and ``n_dropped``
-    are replaced); an empty table gives an empty result.
+    Lines are separated by a line feed; blank lines always stay. Null texts
+    become empty (no line); rows without an id share one id, before all others;
+    each row loses lines of its own text only, also where rows share an id;
+    rows repeated whole are treated alike; a line that recurs within one
+    document, or only in rows of one id, stays; other columns pass through
+    (``n_lines`` and ``n_dropped`` are replaced); an empty table gives an empty
+    result.
     """
-    found = recurring_lines(docs, **rules).select(F.col("doc").alias("__doc"), F.col("drops").alias("__drops"))
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long"))
-    out = docs.join(found, key == F.col("__doc"), "left")
+    found = recurring_lines(docs, **rules).select(F.col("doc").alias("__doc"), F.col("own").alias("__own"), F.col("drops").alias("__drops"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = F.split(text, "\n")
-    kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains(F.col("__drops"), k)), "\n")
-    dropped = F.coalesce(F.size(F.array_intersect(F.col("__drops"), F.sequence(F.lit(0), F.size(parts) - 1))), F.lit(0))
-    counted = {"n_lines": F.when(text == "", 0).otherwise(F.size(parts)).cast("long"), "n_dropped": F.when(F.col("__drops").isNull(), 0).otherwise(dropped).cast("long")}
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID).cast("long"))
+    out = docs.join(found, (key == F.col("__doc")) & (F.xxhash64(text) == F.col("__own")), "left")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.col("__drops"), k)), "\n")
+    counted = {"n_lines": F.when(text == "", 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long")}
     out = out.withColumns({**counted, "text": F.when(F.col("__drops").isNull(), text).otherwise(kept)})
-    return out.drop("__doc", "__drops")
+    return out.drop("__doc", "__own", "__drops")
 
 
 def kept_digest() -> Column:

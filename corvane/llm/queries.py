@@ -44,26 +44,20 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(a, 1) AS k, unnest(a) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
 ), t AS (
-  SELECT doc_id, k, line, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END
-    for x in string_split_regex(line, '[\x20\x09-\x0D]+') if x <> ''] AS m FROM l
-), p AS (
-  SELECT doc_id, k, m, len(m) || ' ' || array_to_string(m[1:3], ' ') AS leaf, array_to_string(m, ' ') AS masked
-  FROM t WHERE len(m) >= 4 AND 2 * len([x for x in m if x = '<*>']) <= len(m)
-), s AS (
-  SELECT leaf FROM p GROUP BY leaf HAVING count(DISTINCT masked) > 1
-), w AS (
-  SELECT leaf, place, min(token) = max(token) AS same FROM (
-    SELECT leaf, generate_subscripts(m, 1) AS place, unnest(m) AS token FROM (SELECT DISTINCT leaf, m FROM p SEMI JOIN s USING (leaf))
-  ) GROUP BY leaf, place
-), whole AS (
-  SELECT leaf FROM w GROUP BY leaf HAVING avg(CAST(same AS INT)) >= 0.7
+  SELECT doc_id, k, r, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END for x in r] AS m
+  FROM (SELECT doc_id, k, [x for x in string_split_regex(line, '[\x20\x09-\x0D]+') if x <> ''] AS r FROM l)
+), f AS (
+  SELECT *, 2 * len([x for x in m if x = '<*>']) > len(m) AS numbers FROM t WHERE len(m) > 0
 ), n AS (
-  SELECT doc_id, k, CASE WHEN whole.leaf IS NULL THEN 'line ' || masked ELSE 'leaf ' || p.leaf END AS template
-  FROM p LEFT JOIN whole ON p.leaf = whole.leaf
+  SELECT doc_id, k, 2 AS least, CASE WHEN numbers THEN 'row ' || array_to_string(r, ' ') ELSE 'line ' || array_to_string(m, ' ') END AS template FROM f
+  UNION ALL
+  SELECT doc_id, k, 3, len(m) || ' ' || j || ' ' || array_to_string(list_concat(m[1:3 + j * (len(m) - 3) // 4], m[4 + (j + 1) * (len(m) - 3) // 4:]), ' ')
+  FROM f, (SELECT unnest([0, 1, 2, 3]) AS j)
+  WHERE NOT numbers AND len(m) > 3 AND j * (len(m) - 3) // 4 < (j + 1) * (len(m) - 3) // 4
 ), o AS (
-  SELECT template, min(doc_id) AS first FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+  SELECT template, min(doc_id) AS first FROM n GROUP BY template, least HAVING count(DISTINCT doc_id) >= least
 ), d AS (
-  SELECT n.doc_id, n.k FROM n JOIN o ON n.template = o.template WHERE n.doc_id <> o.first
+  SELECT DISTINCT n.doc_id, n.k FROM n JOIN o ON n.template = o.template WHERE n.doc_id <> o.first
 )
 SELECT l.doc_id, CASE WHEN bool_and(l.line = '') AND count(*) = 1 THEN 0 ELSE count(*) END AS n_lines, count(d.k) AS n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (d.k IS NULL), '')) AS kept_sha256

@@ -8,34 +8,30 @@ def mask(line):
     return tuple("<*>" if any(c in "0123456789" for c in t) else t for t in line.encode().decode().split())
 
 
-def brute(rows, min_docs=3, leading=3, min_tokens=4, constant=0.7):
-    docs = {i: (t or "").split("\n") for i, t in rows}
-    leaves = defaultdict(set)
-    for lines in docs.values():
-        for line in lines:
-            m = mask(line)
-            if len(m) >= min_tokens and 2 * m.count("<*>") <= len(m):
-                leaves[len(m), m[:leading]].add(m)
-    whole = {k for k, ms in leaves.items() if len(ms) > 1 and sum(len(set(c)) == 1 for c in zip(*ms, strict=True)) / k[0] >= constant}
+def forms(line, leading=3, parts=4):
+    """Every template of a line as a tuple, and the documents that it takes."""
+    m, raw = mask(line), tuple(line.split())
+    if 2 * m.count("<*>") > len(m):
+        return {("row", raw): 2}
+    out = {("line", m): 2} if m else {}
+    for j in range(parts):
+        a, b = (leading + k * (len(m) - leading) // parts for k in (j, j + 1))
+        if len(m) > leading and a < b:
+            out[len(m), j, tuple(x for k, x in enumerate(m) if not a <= k < b)] = 3
+    return out
 
-    def template(line):
-        m = mask(line)
-        if len(m) < min_tokens or 2 * m.count("<*>") > len(m):
-            return None
-        k = (len(m), m[:leading])
-        return k if k in whole else m
 
+def brute(rows):
+    docs = {i: (t or "").split("\n") for i, t in rows}
     holders = defaultdict(set)
     for i, lines in docs.items():
         for line in lines:
-            holders[template(line)].add(i)
+            for f in forms(line):
+                holders[f].add(i)
+    low = lambda ids: min(ids, key=lambda x: (x is not None, x or 0))
     out = {}
     for i, lines in docs.items():
-        kept = []
-        for line in lines:
-            t = template(line)
-            if t is None or len(holders[t]) < min_docs or i == min(holders[t], key=lambda x: (x is not None, x or 0)):
-                kept.append(line)
+        kept = [line for line in lines if not any(len(holders[f]) >= n and low(holders[f]) != i for f, n in forms(line).items())]
         out[i] = (0 if lines == [""] else len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 
@@ -58,7 +54,7 @@ def test_matches_brute_force(spark):
             else:
                 lines.append(" ".join(rnd.choices(words, k=rnd.randint(0, 12))))
         rows.append((i * 2, "\n".join(lines)))
-    rows += [(501, None), (502, ""), (503, "\n\n"), (504, "a b c d\n" * 5000), (505, "a  b\tc d"), (506, "a b c d"), (None, "a b c d"), (507, rows[0][1]), (508, "é é é é\r"), (509, "1 2 3 4 5"), (510, "1 2 3 4 6"), (511, "1 2 3 9 5")]
+    rows += [(501, None), (502, ""), (503, "\n\n"), (504, "a b c d\n" * 5000), (505, "a  b\tc d"), (506, "a b c d"), (None, "a b c d"), (507, rows[0][1]), (508, "é é é é\r"), (509, "1 2 3 4 5"), (510, "1 2 3 4 6"), (511, "1 2 3 9 5"), (512, "1 2  3 4 5\nShare\nPage 3\n7"), (513, "Share\nPage 4\n8\n7")]
     docs = spark.createDataFrame([(i, t, "x", 3, 9) for i, t in rows], "doc_id long, text string, line string, drops int, n_lines int").repartition(3)
     want = brute(rows)
     got = drop_lines(docs).collect()
@@ -73,3 +69,17 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_dropped) for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 0), (1, 0), (2, 2), (3, 2)]
     assert drop_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_with_one_id_lose_their_own_lines_only(spark):
+    rows = [(1, "shared line\nfirst text"), (2, "unlike text\nnothing shared"), (2, "other one\nshared line"), (None, "new\nfour five"), (None, "shared line")]
+    got = sorted((str(r.doc_id), r.text) for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "first text"), ("2", rows[1][1]), ("2", "other one"), ("None", "new\nfour five"), ("None", "shared line")])
+
+
+def test_unlike_lines_do_not_switch_a_template_off(spark):
+    lines = [f"posted in the forum by {n} at night time" for n in ("ann", "bob", "cy", "dee")]
+    unlike = [f"posted in the {a} {b} {c} {d} e{a} f{b}" for a, b, c, d in ("qrst", "uvwx", "yzkl")]
+    docs = spark.createDataFrame(list(enumerate(lines + unlike)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in drop_lines(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
