@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, merged, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, by_text, merged, ranges_batch, without_repeats
 
 #: Words of candidate text for one automaton; whole anchors only.
 SHARD_WORDS = 200_000
@@ -43,21 +43,22 @@ def automaton(passages: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def occurrences(segs: list[bytes], docs: list[int], starts: list[int], size: int) -> tuple[np.ndarray, ...]:
-    """``(doc, s, e)`` of the windows in ``segs`` that also start in a smaller document of them."""
+def occurrences(segs: list[bytes], docs: list[int], texts: list[int], starts: list[int], size: int) -> tuple[np.ndarray, ...]:
+    """``(text, s, e)`` of the windows in ``segs`` that also start in a smaller document of them."""
     numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
-    texts = [tuple(numbers[w] for w in seg.split()) for seg in segs]
-    passages = confirmed(texts, docs, size)
+    numbered = [tuple(numbers[w] for w in seg.split()) for seg in segs]
+    passages = confirmed(numbered, docs, size)
     found: list[tuple[int, int, int]] = []
     if passages:
         search, hits, least = automaton(passages), [], {}
-        for doc, start, words in zip(docs, starts, texts, strict=True):
+        for doc, text, start, words in zip(docs, texts, starts, numbered, strict=True):
             for end, p in search.iter(words):
-                hits.append((p, doc, start + end + 1 - size))
+                hits.append((p, doc, text, start + end + 1 - size))
                 least[p] = min(least.get(p, doc), doc)
-        found = [(doc, s, s + size) for p, doc, s in hits if doc > least[p]]
-    doc, s, e = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    return merged(doc, s, e)
+        found = [(text, s, s + size) for p, doc, text, s in hits if doc > least[p]]
+    text, s, e = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    text, _, s, e = merged(text, np.zeros(len(text), np.int64), s, e)
+    return text, s, e
 
 
 def _compare(size: int, shard_words: int):
@@ -66,17 +67,17 @@ def _compare(size: int, shard_words: int):
         total, at = 0, None
 
         def flush() -> pa.RecordBatch:
-            doc, s, seg = zip(*held, strict=True)
-            d, a, e = occurrences(list(seg), list(doc), list(s), size)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a, pa.int32()), pa.array(e, pa.int32())], ["doc", "s", "e"])
+            doc, own, s, seg = zip(*held, strict=True)
+            texts, number = by_text(doc, own)
+            return ranges_batch(texts, *occurrences(list(seg), list(doc), number.tolist(), list(s), size))
 
         for batch in batches:
-            for ah, doc, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "doc", "s", "seg")), strict=True):
+            for ah, doc, own, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "doc", "own", "s", "seg")), strict=True):
                 if total >= shard_words and ah != at:
                     yield flush()
                     held, total = [], 0
                 at = ah
-                held.append((doc, s, seg))
+                held.append((doc, own, s, seg))
                 total += seg.count(b" ") + 1
         if held:
             yield flush()
@@ -92,7 +93,7 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot
     input; ``kept`` is the other words joined by a space. Null texts have no
     words, null ids come before all others, other columns are ignored, an empty
     table gives an empty result. Rows repeated whole count as one document and
-    all get its result; rows that share an id but not a text are judged
-    together under that id.
+    all get its result; rows that share an id but not a text each lose
+    only what of themselves also starts in a smaller id.
     """
     return without_repeats(docs, Plan(size, gram, True, True), _compare(size, shard_words), hot_anchor, batch_anchor)

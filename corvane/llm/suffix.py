@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, merged, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, by_text, merged, ranges_batch, without_repeats
 
 SHARD_BYTES = 256 << 10
 MERGE_SHARDS = 8
@@ -151,7 +151,8 @@ def repeats(segs: list[bytes], doc: np.ndarray, start: np.ndarray, size: int, sh
     new[1:] = b[1:] != b[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
     gone = (d != d[first]) | (s != s[first])
-    return merged(d[gone], s[gone], s[gone] + size)
+    d, _, s, e = merged(d[gone], np.zeros(gone.sum(), np.int64), s[gone], s[gone] + size)
+    return d, s, e
 
 
 def _compare(size: int, shard_bytes: int):
@@ -162,17 +163,17 @@ def _compare(size: int, shard_bytes: int):
         total, at = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, s, seg = zip(*held, strict=True)
-            d, a, e = repeats(list(seg), np.array(doc, dtype=np.int64), np.array(s, dtype=np.int64), size, shard_bytes)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a, pa.int32()), pa.array(e, pa.int32())], ["doc", "s", "e"])
+            doc, own, s, seg = zip(*held, strict=True)
+            texts, number = by_text(doc, own)
+            yield ranges_batch(texts, *repeats(list(seg), number, np.array(s, dtype=np.int64), size, shard_bytes))
 
         for batch in batches:
-            for ah, doc, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "doc", "s", "seg")), strict=True):
+            for ah, doc, own, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "doc", "own", "s", "seg")), strict=True):
                 if total >= most and ah != at:  # anchors stay whole: equal strings share theirs
                     yield from flush()
                     held, total = [], 0
                 at = ah
-                held.append((doc, s, seg))
+                held.append((doc, own, s, seg))
                 total += len(seg)
         if held:
             yield from flush()
@@ -187,7 +188,8 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 100, gram: int = 32, hot_
     (smaller doc_id, or same document and earlier start) is removed; strings
     are judged on the input. Null texts are empty, null ids come before all
     others, other columns are ignored, an empty table gives an empty result.
-    Rows repeated whole count as one document and all get its result; rows
-    that share an id but not a text are judged together under that id.
+    Rows repeated whole count as one document and all get its result. Rows
+    that share an id but not a text are texts of their own, in the order of
+    their hashes; each loses only what is repeated of itself.
     """
     return without_repeats(docs, Plan(size, gram, False, False), _compare(size, shard_bytes), hot_anchor, batch_anchor)

@@ -16,8 +16,10 @@ anchor; where a mark or very many classes meet, the anchor's other classes follo
 as windows too. All windows of an anchor that is split up so meet by their hashes,
 equal ones of a batch in one row, so no task gets all rows of a hot passage.
 
-A window is a repeat if it also starts earlier: at a smaller ``(doc, start)``, or,
-with ``strict``, in a smaller ``doc``.
+A text is told by its id and the hash of all of it, so that rows with one id and
+unlike texts never lose each other's ranges. A window is a repeat if it also
+starts earlier: at a smaller ``(doc, own, start)``, or, with ``strict``, in a
+smaller ``doc``.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from corvane.session import cut_lineage, free_shuffles, shuffle_width
 
 OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK = range(6)
-ROWS = "kind byte, ah long, sh long, doc long, s int, e int"
-NAMES = ["kind", "ah", "sh", "doc", "s", "e"]
+ROWS = "kind byte, ah long, sh long, doc long, own long, s int, e int"
+NAMES = ["kind", "ah", "sh", "doc", "own", "s", "e"]
 NO_ID = -(2**63)
 #: Tokens that are worked on at once; longer documents are taken in pieces.
 PIECE = 1 << 20
@@ -129,34 +131,36 @@ def segments(tokens: np.ndarray, lengths: np.ndarray, plan: Plan) -> tuple[np.nd
     return text, p - begins[text], end - begins[text], least[p], cls
 
 
-def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges joined where they overlap or touch, by document."""
-    order = np.lexsort((s, doc))
-    doc, s, e = doc[order], s[order].astype(np.int64), e[order].astype(np.int64)
+def merged(doc: np.ndarray, own: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges ``(doc, own, s, e)`` joined where they overlap or touch, by text."""
+    order = np.lexsort((s, own, doc))
+    doc, own, s, e = doc[order], own[order], s[order].astype(np.int64), e[order].astype(np.int64)
     if not len(doc):
-        return doc, s, e
-    lift = np.cumsum(np.diff(doc, prepend=doc[0]) != 0) << 33
+        return doc, own, s, e
+    other = np.zeros(len(doc), dtype=bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
+    lift = np.cumsum(other) << 33
     top = np.maximum.accumulate(e + lift)
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (s + lift)[1:] > top[:-1]
     at = np.flatnonzero(new)
     ends = top[np.append(at[1:], len(doc)) - 1] - lift[at]
-    return doc[at], s[at], ends
+    return doc[at], own[at], s[at], ends
 
 
-def _rows(kind: int, ah, sh, doc, s, e) -> pa.RecordBatch:
+def _rows(kind: int, ah, sh, doc, own, s, e) -> pa.RecordBatch:
     n = len(doc)
     as_long = lambda x: pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, dtype=np.int64))
-    cols = [pa.array(np.full(n, kind, np.int8)), as_long(ah), as_long(sh), as_long(doc), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32))]
+    cols = [pa.array(np.full(n, kind, np.int8)), *map(as_long, (ah, sh, doc, own)), pa.array(np.asarray(s, np.int32)), pa.array(np.asarray(e, np.int32))]
     return pa.RecordBatch.from_arrays(cols, NAMES)
 
 
-def _repeat_mask(new_class: np.ndarray, doc: np.ndarray, s: np.ndarray, strict: bool) -> np.ndarray:
+def _repeat_mask(new_class: np.ndarray, doc: np.ndarray, own: np.ndarray, s: np.ndarray, strict: bool) -> np.ndarray:
     first = np.maximum.accumulate(np.where(new_class, np.arange(len(doc)), 0))
-    return doc > doc[first] if strict else (doc != doc[first]) | (s != s[first])
+    return doc > doc[first] if strict else (doc != doc[first]) | (own != own[first]) | (s != s[first])
 
 
-def combine(ah, sh, doc, s, e, strict: bool, kind: int = OCCURS) -> Iterator[pa.RecordBatch]:
+def combine(ah, sh, doc, own, s, e, strict: bool, kind: int = OCCURS) -> Iterator[pa.RecordBatch]:
     """Settles classes inside one batch: repeats become ranges, first occurrences go on as ``kind``."""
     order = np.argsort(ah)
     a = ah[order]
@@ -164,17 +168,17 @@ def combine(ah, sh, doc, s, e, strict: bool, kind: int = OCCURS) -> Iterator[pa.
     same[1:] = a[1:] == a[:-1]
     same[:-1] |= same[1:]
     dup = order[same]
-    dup = dup[np.lexsort((s[dup], doc[dup], sh[dup], ah[dup]))]
+    dup = dup[np.lexsort((s[dup], own[dup], doc[dup], sh[dup], ah[dup]))]
     keep = np.ones(len(ah), dtype=bool)
     if len(dup):
         new = np.ones(len(dup), dtype=bool)
         new[1:] = (ah[dup[1:]] != ah[dup[:-1]]) | (sh[dup[1:]] != sh[dup[:-1]])
-        gone = dup[_repeat_mask(new, doc[dup], s[dup], strict)]
+        gone = dup[_repeat_mask(new, doc[dup], own[dup], s[dup], strict)]
         keep[gone] = False
-        d, rs, re = merged(doc[gone], s[gone], e[gone])
+        d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
         if len(d):
-            yield _rows(RANGE, _mix(d.astype(np.int64).view(np.uint64) + _C), np.zeros(len(d), np.int64), d, rs, re)
-    yield _rows(kind, ah[keep], sh[keep], doc[keep], s[keep], e[keep])
+            yield _rows(RANGE, _mix(o.astype(np.int64).view(np.uint64) + _C), np.zeros(len(d), np.int64), d, o, rs, re)
+    yield _rows(kind, ah[keep], sh[keep], doc[keep], own[keep], s[keep], e[keep])
 
 
 def _window_hashes(tokens: np.ndarray, size: int, first: int, last: int) -> tuple[list[int], list[int]]:
@@ -184,24 +188,25 @@ def _window_hashes(tokens: np.ndarray, size: int, first: int, last: int) -> tupl
     return [h >> 64 for h in both], [h & (2**64 - 1) for h in both]
 
 
-def _as_windows(pieces: list[np.ndarray], piece, begin, end, doc, s, size: int) -> tuple[np.ndarray, ...]:
-    """``(ah, sh, doc, s, e)`` of every window of segments, whose tokens are ``pieces[piece][begin:end]``."""
-    high, low, docs, starts = [], [], [], []
-    for k, a, b, d, at in zip(piece.tolist(), begin.tolist(), end.tolist(), doc.tolist(), s.tolist(), strict=True):
+def _as_windows(pieces: list[np.ndarray], piece, begin, end, doc, own, s, size: int) -> tuple[np.ndarray, ...]:
+    """``(ah, sh, doc, own, s, e)`` of every window of segments, whose tokens are ``pieces[piece][begin:end]``."""
+    high, low, docs, owns, starts = [], [], [], [], []
+    for k, a, b, d, o, at in zip(*(x.tolist() for x in (piece, begin, end, doc, own, s)), strict=True):
         h, x = _window_hashes(pieces[k], size, a, b - size)
         high += h
         low += x
         docs += [d] * len(h)
+        owns += [o] * len(h)
         starts += range(at, at + len(h))
     starts = np.array(starts, dtype=np.int64)
-    return np.array(high, np.uint64), np.array(low, np.uint64), np.array(docs, np.int64), starts, starts + size
+    return np.array(high, np.uint64), np.array(low, np.uint64), np.array(docs, np.int64), np.array(owns, np.int64), starts, starts + size
 
 
 def _occurrences(plan: Plan, batch_anchor: int):
-    def pieces(ids: list, texts: list) -> Iterator[tuple[list, ...]]:
+    def pieces(texts: pa.Array) -> Iterator[tuple[list, ...]]:
         held, docs, skips, size = [], [], [], 0
-        for i, t in zip(ids, texts, strict=True):
-            tokens = plan.tokens((t or "").encode())
+        for i, t in enumerate(texts):
+            tokens = plan.tokens((t.as_py() or "").encode())
             if len(tokens) < plan.size:
                 continue
             for at in range(0, len(tokens) - plan.size + 1, PIECE):  # windows that start in [at, at + PIECE)
@@ -218,33 +223,33 @@ def _occurrences(plan: Plan, batch_anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, owns = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             found, kept = [], []
-            for held, docs, skips in pieces(ids, batch.column(1).to_pylist()):
+            for held, docs, skips in pieces(batch.column(2)):
                 text, s, e, ah, sh = segments(np.concatenate(held), np.array([len(x) for x in held]), plan)
                 at = np.array(skips)[text]
-                found.append((ah, sh, np.array(docs, dtype=np.int64)[text], s + at, e + at, text + len(kept), s, e))
+                row = np.array(docs, dtype=np.int64)[text]
+                found.append((ah, sh, ids[row], owns[row], s + at, e + at, text + len(kept), s, e))
                 kept += held
             if not found:
                 continue
-            ah, sh, doc, s, e, piece, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
+            ah, sh, doc, own, s, e, piece, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
             classes = np.unique(np.stack([ah, sh]), axis=1)[0] if len(ah) > batch_anchor else ah[:0]
             anchors, times = np.unique(classes, return_counts=True)
             hot = anchors[times > batch_anchor]
             if len(hot):
-                own = np.isin(ah, hot)
-                for rows in combine(*_as_windows(kept, piece[own], begin[own], end[own], doc[own], s[own], plan.size), plan.strict, WINDOW):
-                    yield rows
+                split = np.isin(ah, hot)
+                yield from combine(*_as_windows(kept, *(x[split] for x in (piece, begin, end, doc, own, s)), plan.size), plan.strict, WINDOW)
                 none = np.zeros(len(hot), np.int64)
-                yield _rows(MARK, hot, np.full(len(hot), NO_ID), none, none, none)
-                ah, sh, doc, s, e = (x[~own] for x in (ah, sh, doc, s, e))
-            yield from combine(ah, sh, doc, s, e, plan.strict)
+                yield _rows(MARK, hot, np.full(len(hot), NO_ID), none, none, none, none)
+                ah, sh, doc, own, s, e = (x[~split] for x in (ah, sh, doc, own, s, e))
+            yield from combine(ah, sh, doc, own, s, e, plan.strict)
 
     return run
 
 
 def _settle(strict: bool, windows: bool = False):
-    """Streams rows sorted by (ah, sh, doc, s): repeats of a class become ranges, classes that share an anchor needs.
+    """Streams rows sorted by (ah, sh, doc, own, s): repeats of a class become ranges, classes that share an anchor needs.
 
     Classes of an anchor with a mark become hot needs. ``windows``: the rows
     are windows under their own hashes, which have no needs.
@@ -259,9 +264,9 @@ def _settle(strict: bool, windows: bool = False):
             marks = cols[1][cols[0] == MARK]
             passed = (cols[0] == RANGE) | ((cols[0] == WINDOW) & (not windows))
             for kind in np.unique(cols[0][passed]):
-                own = cols[0] == kind
-                yield _rows(int(kind), *(c[own] for c in cols[1:]))
-            ah, sh, doc, s, e = (c[~passed & (cols[0] != MARK)] for c in cols[1:])
+                mine = cols[0] == kind
+                yield _rows(int(kind), *(c[mine] for c in cols[1:]))
+            ah, sh, doc, own, s, e = (c[~passed & (cols[0] != MARK)] for c in cols[1:])
             hot_anchors = marks if marked is None else np.append(marks, marked)
             marked = int(marks[-1]) if len(marks) else marked
             if not len(ah):
@@ -269,16 +274,16 @@ def _settle(strict: bool, windows: bool = False):
             ghosts = 0
             if held is not None:
                 ghosts = len(held[0])
-                ah, sh, doc, s, e = (np.concatenate(x) for x in zip(held, (ah, sh, doc, s, e), strict=True))
+                ah, sh, doc, own, s, e = (np.concatenate(x) for x in zip(held, (ah, sh, doc, own, s, e), strict=True))
             new_group = np.ones(len(ah), dtype=bool)
             new_group[1:] = ah[1:] != ah[:-1]
             new_class = new_group.copy()
             new_class[1:] |= sh[1:] != sh[:-1]
-            gone = _repeat_mask(new_class, doc, s, strict)
+            gone = _repeat_mask(new_class, doc, own, s, strict)
             gone[:ghosts] = False
             if gone.any():
-                d, rs, re = merged(doc[gone], s[gone], e[gone])
-                yield _rows(RANGE, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, rs, re)
+                d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
+                yield _rows(RANGE, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, o, rs, re)
             at = np.flatnonzero(new_group)
             hot = np.isin(ah[at], hot_anchors)
             many = (np.add.reduceat(new_class.astype(np.int64), at) > 1) | hot
@@ -288,14 +293,14 @@ def _settle(strict: bool, windows: bool = False):
             need = np.repeat(many, each) & ~gone & (not windows)
             if ghosts and told:
                 need[:ghosts] = False
-            for kind, own in ((NEED, need & ~np.repeat(hot, each)), (HOT_NEED, need & np.repeat(hot, each))):
-                if own.any():
-                    yield _rows(kind, ah[own], sh[own], doc[own], s[own], e[own])
+            for kind, mine in ((NEED, need & ~np.repeat(hot, each)), (HOT_NEED, need & np.repeat(hot, each))):
+                if mine.any():
+                    yield _rows(kind, *(x[mine] for x in (ah, sh, doc, own, s, e)))
             begin = int(np.flatnonzero(new_class)[-1])
             stay = np.arange(begin, len(ah))[~gone[begin:]]
             mixed = told = bool(many[-1])
             stay = stay[:1] if told else stay
-            held = tuple(x[stay] for x in (ah, sh, doc, s, e))
+            held = tuple(x[stay] for x in (ah, sh, doc, own, s, e))
 
     return run
 
@@ -305,11 +310,11 @@ def _by_window(plan: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, s, seg = (batch.column(n).to_pylist() for n in ("doc", "s", "seg"))
-            if doc:
-                pieces = [plan.tokens(x) for x in seg]
+            doc, own, s = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc", "own", "s"))
+            if len(doc):
+                pieces = [plan.tokens(x) for x in batch.column("seg").to_pylist()]
                 none, end = np.zeros(len(doc), np.int64), np.array([len(x) for x in pieces])
-                rows = _as_windows(pieces, np.arange(len(doc)), none, end, np.array(doc, np.int64), np.array(s, np.int64), plan.size)
+                rows = _as_windows(pieces, np.arange(len(doc)), none, end, doc, own, s, plan.size)
                 yield from combine(*rows, plan.strict, WINDOW)
 
     return run
@@ -321,52 +326,64 @@ def _cut(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = (text or "").encode()
+            for doc, own, text, needs in zip(*batch.columns, strict=True):
+                doc, own, data, needs = doc.as_py(), own.as_py(), text.as_py().encode(), needs.as_py()
                 words = data.split() if plan.words else None
                 for n in needs:
                     seg = data[n["s"] : n["e"]] if words is None else b" ".join(words[n["s"] : n["e"]])
-                    out.append((n["ah"], n["hot"], doc, n["s"], seg))
+                    out.append((n["ah"], n["hot"], doc, own, n["s"], seg))
             if out:
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["ah", "hot", "doc", "s", "seg"])
+                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["ah", "hot", "doc", "own", "s", "seg"])
 
     return run
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     n = shuffle_width(rows.sparkSession)
-    return rows.repartition(n, "ah").sortWithinPartitions("ah", "sh", "doc", "s")
+    return rows.repartition(n, "ah").sortWithinPartitions("ah", "sh", "doc", "own", "s")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.col("text").cast("string").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), F.xxhash64(text).alias("own"), text.alias("text"))
 
 
 def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR) -> DataFrame:
-    """``(doc, ranges array<struct<s, e>>)``: token ranges covered by repeated windows; documents without any are left out.
+    """``(doc, own, ranges array<struct<s, e>>)``: token ranges covered by repeated windows; texts without any are left out.
 
-    ``compare`` is a ``mapInArrow`` function over ``(ah, hot, doc, s, seg)``
-    rows, sorted by anchor, that returns ``(doc, s, e)`` ranges of windows that
-    also start earlier in another row with the same anchor.
+    ``compare`` is a ``mapInArrow`` function over ``(ah, hot, doc, own, s, seg)``
+    rows, sorted by anchor, that returns ``(doc, own, s, e)`` ranges of windows
+    that also start earlier in another row with the same anchor.
     """
-    texts = _keyed(docs)
+    texts, key = _keyed(docs), ["doc", "own"]
     rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan.strict), ROWS))
     free_shuffles(docs.sparkSession)
-    ranges = rows.where(F.col("kind") == RANGE).select("doc", "s", "e")
+    ranges = rows.where(F.col("kind") == RANGE).select(*key, "s", "e")
     needs = rows.where(F.col("kind").isin(NEED, HOT_NEED)).withColumn("marked", F.col("kind") == HOT_NEED)
     hot = needs.groupBy("ah").count().where(F.col("count") > hot_anchor).select("ah", F.lit(True).alias("hot"))
-    needs = needs.join(hot, "ah", "left").select("doc", F.struct("ah", "s", "e", F.coalesce("hot", "marked").alias("hot")).alias("n"))
-    wanted = needs.groupBy("doc").agg(F.collect_set("n").alias("needs"))
-    parts = texts.join(wanted, "doc").select("doc", "text", "needs").mapInArrow(_cut(plan), "ah long, hot boolean, doc long, s int, seg binary")
-    parts = cut_lineage(parts.dropDuplicates(["ah", "doc", "s"]))
+    needs = needs.join(hot, "ah", "left").select(*key, F.struct("ah", "s", "e", F.coalesce("hot", "marked").alias("hot")).alias("n"))
+    wanted = needs.groupBy(*key).agg(F.collect_set("n").alias("needs"))
+    parts = texts.join(wanted, key).select(*key, "text", "needs").mapInArrow(_cut(plan), "ah long, hot boolean, doc long, own long, s int, seg binary")
+    parts = cut_lineage(parts.dropDuplicates(["ah", "doc", "own", "s"]))
     free_shuffles(docs.sparkSession)
-    cold = parts.where("not hot").repartition(shuffle_width(docs.sparkSession), "ah").sortWithinPartitions("ah", "doc", "s")
-    ranges = ranges.unionByName(cold.mapInArrow(compare, "doc long, s int, e int"))
+    cold = parts.where("not hot").repartition(shuffle_width(docs.sparkSession), "ah").sortWithinPartitions("ah", "doc", "own", "s")
+    ranges = ranges.unionByName(cold.mapInArrow(compare, "doc long, own long, s int, e int"))
     loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
     by_window = _dealt(loose).mapInArrow(_settle(plan.strict, windows=True), ROWS)
-    ranges = ranges.unionByName(by_window.where(F.col("kind") == RANGE).select("doc", "s", "e"))
-    return ranges.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    ranges = ranges.unionByName(by_window.where(F.col("kind") == RANGE).select(*key, "s", "e"))
+    return ranges.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+
+
+def by_text(doc: list[int], own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``(doc, own)`` in order, as rows, and the number of each given one among them."""
+    return np.unique(np.array([doc, own], dtype=np.int64).T.reshape(-1, 2), axis=0, return_inverse=True)
+
+
+def ranges_batch(texts: np.ndarray, number: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Ranges of numbered texts as a batch for ``repeated_ranges``."""
+    cols = [pa.array(texts[number, 0]), pa.array(texts[number, 1]), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, ["doc", "own", "s", "e"])
 
 
 def spans_of(ranges: list | None, length: int) -> list[tuple[int, int]]:
@@ -388,8 +405,8 @@ def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = (text or "").encode()
+            for doc, text, ranges in zip(*batch.columns, strict=True):
+                doc, data, ranges = doc.as_py(), text.as_py().encode(), ranges.as_py()
                 items = data.split() if plan.words else data
                 spans, at, kept = spans_of(ranges, len(items)), 0, []
                 for s, e in [*spans, (len(items), len(items))]:
@@ -401,5 +418,5 @@ def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_tokens", "spans", "kept"])
 
     found = repeated_ranges(docs, plan, compare, hot_anchor, batch_anchor)
-    both = _keyed(docs).join(found, "doc", "left").select("doc", "text", "ranges")
+    both = _keyed(docs).join(found, ["doc", "own"], "left").select("doc", "text", "ranges")
     return both.mapInArrow(run, "doc_id long, n_tokens long, spans array<struct<s: long, e: long>>, kept binary")

@@ -149,3 +149,17 @@ def test_sliding_min():
 def test_repeats_of_one_shard():
     doc, s, e = repeats([b"abcdefgh", b"xabcdefy", b"abcdefgh"], np.array([5, 2, 9]), np.array([0, 10, 0]), 6)
     assert list(zip(doc, s, e, strict=True)) == [(5, 0, 6), (9, 0, 8)]
+
+
+def test_rows_with_one_id_keep_what_they_do_not_repeat(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(90))
+    p, q, r = text(), text(), text()
+    rows = [(0, p), (1, p), (1, q), (None, r), (None, q + " " + r), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(str(x.doc_id), bytes(x.kept).decode()) for x in remove_repeated_passages(docs).collect()]
+    assert sorted(left) == sorted([("0", p), ("1", ""), ("1", ""), ("None", r), ("None", q + " " + r), ("None", "")])
+    byte = [(str(x.doc_id), bytes(x.kept).decode()) for x in remove_repeated_bytes(docs).collect()]
+    nulls = sorted(t for i, t in byte if i == "None")
+    assert sorted(x for x in byte if x[0] != "None") == [("0", p), ("1", ""), ("1", "")]
+    assert nulls in (sorted(["", "", q + " " + r]), sorted(["", r, q + " "]))
