@@ -7,7 +7,7 @@ list of patch operations, or empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.jsonpatch import json_apply, json_diff, json_merge, json_references
@@ -52,9 +52,14 @@ def reference_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lives(log: DataFrame) -> DataFrame:
-    """The log with ``life``: how many deletions of the resource came before, so that a reused id starts anew."""
-    before = Window.partitionBy(*KEY).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("life", F.coalesce(F.sum((F.col("type") == DELETE).cast("long")).over(before), F.lit(0).cast("long")))
+    """The log with ``life``: how many deletions of the resource came before, so that a reused id starts anew.
+
+    Only deletions are gathered by resource; the changes meet them in a join, which can split a hot resource.
+    """
+    at = F.struct("ts", "seq")
+    ends = log.where(F.col("type") == DELETE).groupBy(*KEY).agg(F.collect_list(at).alias("__ends"))
+    before = F.filter(F.coalesce("__ends", F.array().cast(ends.schema["__ends"].dataType)), lambda e: e < at)
+    return log.join(ends, KEY, "left").withColumn("life", F.size(before).cast("long")).drop("__ends")
 
 
 def squash_plan(log: DataFrame, *extra: Column) -> DataFrame:

@@ -23,70 +23,78 @@ def insert_adjacency(patches: DataFrame, references: DataFrame) -> DataFrame:
     return out.join(nodes, "dst", "left_semi").select("src", "dst").distinct()
 
 
-def _least_reaching(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """``(node, color)``: the least node from which each node can be reached."""
+def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, color)``: the least node from which each node can be reached. Colours only fall, so it ends."""
     color = nodes.select("node", F.col("node").alias("color"))
-    for _ in range(rounds):
+    while True:
         pushed = edges.join(color.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("pushed"))
         step = color.join(pushed, "node", "left").select("node", F.least("color", F.coalesce("pushed", "color")).alias("color"), (F.col("pushed") < F.col("color")).alias("moved"))
         step = cut_lineage(step)
         color = step.select("node", "color")
         if step.where("moved").isEmpty():
             return color
-    raise RuntimeError("reachability did not settle")
 
 
-def strongly_connected(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges between nodes that are not ``gone(node)``."""
+    out = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+    return cut_lineage(out.select("src", "dst"))
+
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    out = parts[0] if parts else empty
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)``: nodes that reach each other share the least of their names.
 
-    Forward colours, then backward reachability inside a colour; what is not
-    settled goes into the next pass. All of it is joins; each step is cut.
+    Nodes that no edge leads to, or none leaves, are components of their own
+    and are trimmed first. Then forward colours, and backward reachability
+    inside a colour; what is not settled goes into the next pass. Each pass
+    settles a node at least, so no number of passes is set. All of it is joins;
+    each step is cut.
     """
     left = cut_lineage(nodes.select("node").distinct())
     edges = edges.where("src <> dst").join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
     edges = cut_lineage(edges.select("src", "dst").distinct())
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        color = _least_reaching(left, edges, rounds)
+    while not left.isEmpty():
+        inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+        alone = cut_lineage(left.join(inner, "node", "left_anti"))
+        if not alone.isEmpty():
+            done.append(alone.select("node", F.col("node").alias("component")))
+            left, edges = cut_lineage(left.join(alone, "node", "left_anti")), _without(edges, alone)
+            continue
+        color = _least_reaching(left, edges)
         near = edges.join(color.select(F.col("node").alias("src"), F.col("color").alias("c")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c")), ["dst", "c"])
         near = cut_lineage(near.select("src", "dst"))
         found = cut_lineage(color.where("node = color"))
-        edge_of = found
-        for _ in range(rounds):
-            more = near.join(edge_of.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "color").distinct()
-            edge_of = cut_lineage(more.join(found, "node", "left_anti"))
-            if edge_of.isEmpty():
-                break
-            found = cut_lineage(found.unionByName(edge_of))
+        fresh = found
+        while not fresh.isEmpty():
+            more = near.join(fresh.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "color").distinct()
+            fresh = cut_lineage(more.join(found, "node", "left_anti"))
+            found = cut_lineage(found.unionByName(fresh))
         done.append(found.select("node", F.col("color").alias("component")))
-        left = cut_lineage(left.join(found, "node", "left_anti"))
-        edges = cut_lineage(edges.join(found.withColumnRenamed("node", "src"), "src", "left_anti").join(found.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    out = done[0] if done else nodes.select("node", F.col("node").alias("component"))
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        left, edges = cut_lineage(left.join(found, "node", "left_anti")), _without(edges, found)
+    return _union(done, nodes.select("node", F.col("node").alias("component")))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)`` of an acyclic graph: 0 without references, else one above the highest node referred to."""
     left = cut_lineage(nodes.select("node").distinct())
     edges = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
     done: list[DataFrame] = []
-    for level in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         waiting = edges.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
         ready = cut_lineage(left.join(waiting, "node", "left_anti"))
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")
-        done.append(ready.select("node", F.lit(level).cast("long").alias("level")))
+        done.append(ready.select("node", F.lit(len(done)).cast("long").alias("level")))
         left = cut_lineage(left.join(ready, "node", "left_anti"))
-    out = done[0] if done else nodes.select("node", F.lit(0).cast("long").alias("level"))
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return _union(done, nodes.select("node", F.lit(0).cast("long").alias("level")))
 
 
 def ordered_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.catalogue import Kind, Param
 from corvane.operators.criteria import Cells, Criterion, predicate
+from corvane.session import cut_lineage
 
 Operation = Literal["and", "or"]
 KEY = "__id"
@@ -210,13 +211,16 @@ def count(index: Index, request: Search) -> DataFrame:
     return matching(index, request).agg(F.count("*").alias("n"))
 
 
-def included(index: Index, request: Search) -> DataFrame:
+def included(index: Index, request: Search, base: DataFrame | None = None) -> DataFrame:
     """``(base_id, direction, type, param, resource_id)`` of included and reverse-included resources, long form.
 
     Filters, chains, order and page of a nested search hold for it; with a
-    page, ``rank`` limits the resources of each base row.
+    page, ``rank`` limits the resources of each base row. ``base(base_id)``: the
+    request's results, if they are known.
     """
-    base = search(index, request).select(F.col(KEY).alias("base_id"))
+    if base is None:
+        base = search(index, request).select(F.col(KEY).alias("base_id"))
+        base = cut_lineage(base) if len(request.including) + len(request.rev_including) > 1 else base
     parts: list[DataFrame] = []
     for nested in request.including:
         inner = nested.search
@@ -240,12 +244,13 @@ def _stitched(index: Index, inner: Search, edges: DataFrame, direction: str, par
     found, order = sort_columns(index, inner.type, found, inner.sorts)
     keys = [c for c in found.columns if c.startswith("__sort")]
     rows = edges.distinct().join(found.select(KEY, *keys), KEY)
-    rank = F.row_number().over(Window.partitionBy("base_id").orderBy(*order)).cast("long") if inner.sorts or inner.count is not None else F.lit(None).cast("long")
+    # With a page, the filter on the bare row number lets each task keep its first rows of a base before they are shuffled.
+    rank = F.row_number().over(Window.partitionBy("base_id").orderBy(*order)) if inner.sorts or inner.count is not None else F.lit(None).cast("int")
     rows = rows.withColumn("rank", rank)
     if inner.count is not None:
         rows = rows.where((F.col("rank") > (inner.start or 0)) & (F.col("rank") <= (inner.start or 0) + inner.count))
     return rows.select(
-        "base_id", F.lit(direction).alias("direction"), F.lit(inner.type).alias("type"), F.lit(param).alias("param"), F.col(KEY).alias("resource_id"), "rank"
+        "base_id", F.lit(direction).alias("direction"), F.lit(inner.type).alias("type"), F.lit(param).alias("param"), F.col(KEY).alias("resource_id"), F.col("rank").cast("long").alias("rank")
     )
 
 
@@ -255,10 +260,10 @@ def stitched(index: Index, request: Search) -> DataFrame:
     Keys are parameters for includes and ``type.param`` for reverse includes;
     values are the ids, in the nested order.
     """
-    base = search(index, request).select(F.col(KEY).alias("base_id"))
+    base = cut_lineage(search(index, request).select(F.col(KEY).alias("base_id")))  # ids alone, found once
     key = F.when(F.col("direction") == "include", F.col("param")).otherwise(F.concat_ws(".", "type", "param"))
     lists = (
-        included(index, request)
+        included(index, request, base)
         .groupBy("base_id", "direction", key.alias("k"))
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "resource_id"))), lambda x: x["resource_id"]).alias("ids"))
     )

@@ -41,7 +41,7 @@ def high_water(resources: DataFrame, updated: str = "last_updated") -> DataFrame
 
 def newer_than(resources: DataFrame, marks: DataFrame, updated: str = "last_updated") -> DataFrame:
     """Resources above their type's mark, and all of types without one."""
-    both = resources.join(F.broadcast(marks), "resource_type", "left")  # a row for each resource type
+    both = resources.join(marks, "resource_type", "left")
     return both.where(F.col("high_water").isNull() | (F.col(updated) > F.col("high_water"))).drop("high_water")
 
 

@@ -40,8 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests), a temporary folder is set once per
-    Spark context and reused.
+    Where a local session names none (tests), a temporary folder is set once per
+    Spark context and reused. On a cluster a folder has to be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="corvane-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
