@@ -206,6 +206,11 @@ class DocumentIndex:
                 return p
         raise ValueError(f"{type_} has no search parameter {name!r}")
 
+    def variants(self, type_: str, param: Param) -> list[Param]:
+        """The parameter under each kind that the catalogue gives its name: a date may be indexed by day and by millisecond."""
+        same = [p for p in self.catalogue.get(type_, []) if p.name == param.name and p.kind in (Kind.DATE, Kind.DATETIME)]
+        return sorted(same, key=lambda p: p.kind is Kind.DATETIME) if len(same) > 1 else [param]
+
     def cells(self, type_: str, param: Param) -> None:
         return None
 

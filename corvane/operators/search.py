@@ -117,17 +117,24 @@ def _present(kind: Kind, cells: Cells) -> Column:
     return value.isNotNull()
 
 
-def group_predicate(index: Index, type_: str, group: Group, cells: Cells) -> Column:
-    kind = index.param(type_, group.param).kind
+def _variants(index: Index, type_: str, param: Param) -> list[Param]:
+    return index.variants(type_, param) if hasattr(index, "variants") else [param]
+
+
+def group_predicate(index: Index, type_: str, group: Group, cells: Cells, kind: Kind | None = None) -> Column:
+    kind = kind or index.param(type_, group.param).kind
     tests = [predicate(kind, cells, c) for c in group.criteria]
     present = _present(kind, cells)
     return present & _combine(tests, group.operation) if tests else present
 
 
 def group_keys(index: Index, type_: str, group: Group) -> DataFrame:
-    """Keys of the resources with an index row that satisfies the group."""
-    rows, cells = index.rows(type_, index.param(type_, group.param))
-    return rows.where(group_predicate(index, type_, group, cells)).select(KEY)
+    """Keys of the resources with an index row that satisfies the group, of any kind that the parameter has."""
+    parts = []
+    for param in _variants(index, type_, index.param(type_, group.param)):
+        rows, cells = index.rows(type_, param)
+        parts.append(rows.where(group_predicate(index, type_, group, cells, param.kind)).select(KEY))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def matching(index: Index, search: Search) -> DataFrame:
@@ -179,15 +186,18 @@ def sort_columns(index: Index, type_: str, rows: DataFrame, sorts: list[Sort]) -
         if param.kind not in (Kind.STRING, Kind.NUMBER, Kind.DATE, Kind.DATETIME):
             raise NotImplementedError(f"no sort order on a {param.kind.value} parameter")
         cells = index.cells(type_, param)
+        names = [f"__sort{k}"]
         if cells is not None:
-            rows = rows.withColumn(f"__sort{k}", cells.point if cells.point is not None else cells.value)
+            rows = rows.withColumn(names[0], cells.point if cells.point is not None else cells.value)
         else:
-            found, cells = index.rows(type_, param)
-            value = cells.low if param.kind in (Kind.DATE, Kind.DATETIME) else cells.value
-            pick = F.max if s.descending else F.min
-            best = found.groupBy(KEY).agg(pick(value).alias(f"__sort{k}"))
-            rows = rows.join(best, KEY, "left")
-        order.append(F.desc_nulls_last(f"__sort{k}") if s.descending else F.asc_nulls_last(f"__sort{k}"))
+            variants = _variants(index, type_, param)
+            names = [f"__sort{k}_{v}" for v in range(len(variants))]
+            for own, name in zip(variants, names, strict=True):
+                found, cells = index.rows(type_, own)
+                value = cells.low if own.kind in (Kind.DATE, Kind.DATETIME) else cells.value
+                pick = F.max if s.descending else F.min
+                rows = rows.join(found.groupBy(KEY).agg(pick(value).alias(name)), KEY, "left")
+        order += [F.desc_nulls_last(n) if s.descending else F.asc_nulls_last(n) for n in names]
     return rows, [*order, F.asc(KEY)]
 
 

@@ -1,25 +1,32 @@
 """A versioned store of documents: resources, index rows and change log as Parquet snapshots.
 
-Every write makes a new snapshot folder and then moves the pointer file to it,
-so a reader sees one whole snapshot and a failed write changes nothing. There is
-one writer at a time. Index rows are partitioned by type and kind.
+Every write puts the tables that it changes into a new folder and then adds a
+numbered pointer that names the folder of each table; the highest number is the
+current snapshot. The pointer appears by one rename, older ones stay until
+``vacuum``, and two writers cannot take the same number. So a reader sees one
+whole snapshot, a write that fails at any step changes nothing, and tables that
+a write does not change are neither read nor written. Index rows are partitioned
+by type and kind.
 """
 
 from __future__ import annotations
 
+import json
 import uuid as uuids
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.jsonpatch import json_with_id
+from corvane.functions.jsonpatch import json_references, json_with_id
 from corvane.operators import changes as log_ops
 from corvane.operators.catalogue import Param
 from corvane.operators.documents import INDEX, DocumentIndex, index_documents, seed_catalogue
 from corvane.operators.query_string import parse_query
 from corvane.operators.search import Search, count, included, search, stitched
-from corvane.operators.sync import PAIR, accept_remote, conflicts, resolve
+from corvane.operators.sync import PAIR, accept_remote, conflicts, resolve, rewrite_ids, rewrite_log, with_server_meta
 from corvane.session import cut_lineage
 
 RESOURCES = "uuid string, resource_type string, resource_id string, json string, version_id string, last_updated_remote timestamp, last_updated_local timestamp"
@@ -34,6 +41,10 @@ class PendingChanges(ValueError):
     pass
 
 
+class Conflict(RuntimeError):
+    pass
+
+
 class Store:
     """Create, read, update, delete, search, and the log of local changes."""
 
@@ -43,22 +54,24 @@ class Store:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        if self._pointer() is None:
-            self._commit({})
 
     # Snapshots.
-    def _pointer(self) -> str | None:
-        path = f"{self.root}/CURRENT"
-        return self.spark.read.text(path).first()[0] if self._fs.exists(self._path(path)) else None
+    def _numbers(self) -> list[int]:
+        """Numbers of all snapshots, ascending."""
+        root = self._path(self.root)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n.removeprefix("at-")) for n in names if n.startswith("at-"))
+
+    def _snapshot(self, number: int | None = None) -> dict[str, str]:
+        """The folder of each table in a snapshot, the current one by default; none before the first write."""
+        numbers = [number] if number is not None else self._numbers()[-1:]
+        return json.loads(self.spark.read.text(f"{self.root}/at-{numbers[0]:012d}").first()[0]) if numbers else {}
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if self._pending is not None and name in self._pending:
             return self._pending[name]
-        found = self._pointer()
-        at = f"{self.root}/{found}/{name}" if found else ""
-        if at and self._fs.exists(self._path(at)):
-            return self.spark.read.schema(schema).parquet(at)
-        return self.spark.createDataFrame([], schema)
+        found = self._snapshot().get(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{found}/{name}") if found else self.spark.createDataFrame([], schema)
 
     @property
     def resources(self) -> DataFrame:
@@ -80,22 +93,24 @@ class Store:
         if self._pending is not None:
             self._pending.update(tables)
             return
-        name = f"v-{uuids.uuid4().hex}"
-        schemas = {"resources": RESOURCES, "index": INDEX, "log": log_ops.LOG, "state": STATE}
-        for key, schema in schemas.items():
-            df = tables[key] if key in tables else self._table(key, schema)
+        name, before = f"v-{uuids.uuid4().hex}", self._numbers()
+        for key, df in tables.items():
             writer = df.write
             if key == "resources":
                 writer = writer.partitionBy("resource_type")
             if key == "index":
                 writer = writer.partitionBy("resource_type", "kind")
             writer.parquet(f"{self.root}/{name}/{key}")
-        fresh = f"{self.root}/CURRENT-{name}"
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(fresh)
-        old = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(old):
-            self._fs.delete(old, True)
-        self._fs.rename(self._path(fresh), old)
+        pointer = json.dumps({**self._snapshot(), **dict.fromkeys(tables, name)})
+        self._point(pointer, (before[-1] if before else 0) + 1, name)
+
+    def _point(self, pointer: str, number: int, name: str) -> None:
+        """Makes the snapshot current by one rename; fails if another writer came first."""
+        fresh, place = self._path(f"{self.root}/new-{name}"), self._path(f"{self.root}/at-{number:012d}")
+        self.spark.createDataFrame([(pointer,)], "value string").coalesce(1).write.text(fresh.toString())
+        if self._fs.exists(place) or not self._fs.rename(fresh, place):
+            self._fs.delete(fresh, True)
+            raise Conflict(f"another writer has made snapshot {number}")
 
     def transaction(self, block: Callable[[Store], None]) -> None:
         """All writes of ``block`` become one snapshot, or none if it raises."""
@@ -108,15 +123,20 @@ class Store:
         self._commit(tables)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all snapshots but the current one and the ``keep - 1`` newest others."""
-        now = self._pointer()
-        found = [s for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v-") and s.getPath().getName() != now]
-        for s in sorted(found, key=lambda s: -s.getModificationTime())[max(0, keep - 1) :]:
-            self._fs.delete(s.getPath(), True)
+        """Deletes all snapshots but the current one and the ``keep - 1`` before it, and what only they, or no one, need."""
+        numbers = self._numbers()
+        kept = numbers[-max(1, keep) :]
+        needed = {f for n in kept for f in self._snapshot(n).values()} | {f"at-{n:012d}" for n in kept}
+        for s in self._fs.listStatus(self._path(self.root)):
+            if s.getPath().getName().partition("-")[0] in ("v", "at", "new") and s.getPath().getName() not in needed:
+                self._fs.delete(s.getPath(), True)
 
     # Writing.
     def _put(self, rows: DataFrame, log: DataFrame | None, extra: dict[str, DataFrame] | None = None) -> None:
-        rows = rows.select(*(c.split()[0] for c in RESOURCES.split(", ")))
+        names = [c.split()[0] for c in RESOURCES.split(", ")]
+        if "__n" in rows.columns:
+            rows = rows.groupBy(*PAIR).agg(F.max_by(F.struct(*(c for c in names if c not in PAIR)), "__n").alias("last")).select(*PAIR, "last.*")
+        rows = rows.select(*names)
         kept = self.resources.join(rows.select(*PAIR), PAIR, "left_anti")
         old = self.index.join(rows.select("uuid"), "uuid", "left_anti")
         fresh = index_documents(rows, self.catalogue)
@@ -131,7 +151,7 @@ class Store:
     def _prepared(self, documents: DataFrame, local: bool) -> DataFrame:
         """``documents(json)`` as resource rows; ids are made where there are none, known resources keep their uuid."""
         own_id = F.coalesce(F.get_json_object("json", "$.id"), F.expr("uuid()") if local else F.raise_error(F.lit("a remote resource needs an id")))
-        rows = documents.select("json", F.get_json_object("json", "$.resourceType").alias("resource_type"), own_id.cast("string").alias("resource_id"))
+        rows = documents.select("json", F.get_json_object("json", "$.resourceType").alias("resource_type"), own_id.cast("string").alias("resource_id"), F.monotonically_increasing_id().alias("__n"))
         rows = cut_lineage(rows)  # ids that are made once stay
         known = self.resources.select(*PAIR, "uuid")
         none = F.lit(None).cast("string")
@@ -140,13 +160,17 @@ class Store:
             json_with_id("json", F.col("resource_id"), none, none).alias("json"),
             F.get_json_object("json", "$.meta.versionId").alias("version_id"),
             F.get_json_object("json", "$.meta.lastUpdated").cast("timestamp").alias("last_updated_remote"),
-            (self.clock() if local else F.lit(None)).cast("timestamp").alias("last_updated_local"),
+            (self.clock() if local else F.lit(None)).cast("timestamp").alias("last_updated_local"), "__n",
         )
 
     def create(self, documents: DataFrame) -> DataFrame:
-        """Stores new documents and logs the insertions; returns their ``(resource_type, resource_id)``."""
+        """Stores new documents and logs the insertions; returns their ``(resource_type, resource_id)``.
+
+        Of documents with one type and id the last is stored, in the order in
+        which Spark reads them; all are logged.
+        """
         rows = self._prepared(documents, True)
-        self._put(rows, log_ops.insert_changes(rows.withColumnRenamed("uuid", "resource_uuid"), self.clock(), self._after()))
+        self._put(rows, log_ops.insert_changes(rows.orderBy("__n").withColumnRenamed("uuid", "resource_uuid"), self.clock(), self._after()))
         return rows.select(*PAIR)
 
     def insert_remote(self, documents: DataFrame) -> None:
@@ -229,28 +253,130 @@ class Store:
         self.set_state("last_sync", self.spark.range(1).select(self.clock().cast("string")).first()[0])
 
     def sync_upload(self, send: Callable[[DataFrame], DataFrame], strategy=None) -> DataFrame:
-        """Squashes the log, sends the patches, and drops what succeeded; returns the answers.
-
-        ``send`` gets bundle entries and returns ``(resource_type, resource_id, ok, version_id, last_updated)``.
+        """Sends the local changes in the order of their references and consolidates what succeeded; returns the answers.
+
+        ``send`` gets the entries of one bundle (or of one level of single
+        requests) and returns ``(resource_type, resource_id, ok, version_id,
+        last_updated)``, and ``new_id`` where the server names resources itself.
+        What is referred to goes out before what refers to it; groups that
+        refer to each other stay in one bundle. Each bundle is one snapshot:
+        its changes leave the log, versions and new ids come into documents,
+        references and the rest of the log. After a bundle with a failure, or
+        a missing answer, nothing more is sent, and the rest stays in the log.
         """
-        from corvane.operators.bundles import UploadStrategy, bundle_entries
-        from corvane.operators.sync import with_server_meta
+        from corvane.operators import ordering
+        from corvane.operators.bundles import UploadStrategy, bundle_entries, pack_groups, single_requests
 
         strategy = strategy or UploadStrategy()
-        patches = (log_ops.squash if strategy.squash else log_ops.per_change)(self.log)
-        answers = send(bundle_entries(patches.where("type IS NOT NULL"), strategy))
-        good = answers.where("ok")
-        done = patches.join(good.select(*PAIR), PAIR, "left_semi").select("token").unionByName(patches.where("type IS NULL").select("token"))
-        meta = with_server_meta(self.resources, good).select(*(c.split()[0] for c in RESOURCES.split(", ")))
-        self._commit({"log": log_ops.discard(self.log, done).select(*(c.split()[0] for c in log_ops.LOG.split(", "))), "resources": meta})
-        return answers
+        patches = cut_lineage((log_ops.squash if strategy.squash else log_ops.per_change)(self.log))
+        self._commit({"log": self._log_without(patches.where("type IS NULL"))})
+        patches = patches.where("type IS NOT NULL")
+        refs = patches.where("type <> 'DELETE'").select(*PAIR, F.explode(json_references("payload")).alias("r")).select(*PAIR, F.col("r.value").alias("value"))
+        nodes = patches.select(ordering.node_name().alias("node")).distinct()
+        groups = ordering.ordered_groups(nodes, ordering.insert_adjacency(patches, refs))
+        sizes = patches.select(ordering.node_name().alias("node")).join(groups, "node").groupBy("level", "component").agg(F.count("*").alias("size"))
+        if strategy.bundle:
+            places = sizes.orderBy("level", "component").select("component", "size", F.monotonically_increasing_id().alias("position"))
+            places = cut_lineage(places)
+            bundles = pack_groups(places, strategy.bundle_size).join(places.select("component", "position"), "position").select("component", "bundle")
+        else:
+            bundles = sizes.select("component", F.col("level").alias("bundle"))
+        dealt = patches.withColumn("node", ordering.node_name()).join(groups, "node").join(bundles, "component").drop("node", "component", "level")
+        dealt = cut_lineage(dealt)
+        answers = []
+        for r in dealt.select("bundle").distinct().orderBy("bundle").toLocalIterator():
+            own = dealt.where(F.col("bundle") == r["bundle"])
+            if answers:  # ids that the server gave meanwhile are in the log and in these payloads
+                own = self._renamed(own, answers)
+            got = send((bundle_entries if strategy.bundle else single_requests)(own, strategy))
+            got = cut_lineage(got if "new_id" in got.columns else got.withColumn("new_id", F.lit(None).cast("string")))
+            answers.append(got)
+            self._consolidate(own, got.where("ok"))
+            if not own.join(got.where("ok"), PAIR, "left_anti").isEmpty():
+                break
+        return reduce(DataFrame.unionByName, answers) if answers else self.spark.createDataFrame([], "resource_type string, resource_id string, ok boolean, version_id string, last_updated timestamp, new_id string")
+
+    def _log_without(self, patches: DataFrame) -> DataFrame:
+        return log_ops.discard(self.log, patches.select("token")).select(*(c.split()[0] for c in log_ops.LOG.split(", ")))
+
+    @staticmethod
+    def _new_ids(good: DataFrame) -> DataFrame:
+        return good.where("new_id IS NOT NULL AND new_id <> resource_id").select("resource_type", F.col("resource_id").alias("old_id"), "new_id")
+
+    def _renamed(self, patches: DataFrame, answers: list[DataFrame]) -> DataFrame:
+        ids = self._new_ids(reduce(DataFrame.unionByName, answers).where("ok"))
+        return patches if ids.isEmpty() else cut_lineage(rewrite_log(patches.withColumn("seq", F.element_at("token", 1)), ids).drop("seq"))
+
+    def _consolidate(self, sent: DataFrame, good: DataFrame) -> None:
+        """One snapshot without the changes that succeeded, with the server's versions and ids."""
+        names = [c.split()[0] for c in RESOURCES.split(", ")]
+        tables = {"log": self._log_without(sent.join(good, PAIR, "left_semi")), "resources": with_server_meta(self.resources, good).select(*names)}
+        ids = self._new_ids(good)
+        if not ids.isEmpty():
+            tables["log"] = rewrite_log(tables["log"], ids).select(*(c.split()[0] for c in log_ops.LOG.split(", ")))
+            tables["resources"] = cut_lineage(rewrite_ids(tables["resources"], ids).select(*names))
+            tables["index"] = index_documents(tables["resources"], self.catalogue)
+        self._commit(tables)
 
     def get_state(self, key: str) -> str | None:
         found = self.state.where(F.col("key") == key).first()
         return found["value"] if found else None
 
     def set_state(self, key: str, value: str) -> None:
-        self._commit({"state": self.state.where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value)], STATE))})
+        self.set_states({key: value})
+
+    def set_states(self, values: dict[str, str]) -> None:
+        """Several keys in one snapshot; no other table is touched."""
+        self._commit({"state": self.state.where(~F.col("key").isin(*values)).unionByName(self.spark.createDataFrame(list(values.items()), STATE))})
 
     def last_sync(self) -> str | None:
         return self.get_state("last_sync")
+
+
+@dataclass(frozen=True)
+class SyncResult:
+    """How a synchronisation ended; ``errors`` is empty if it succeeded."""
+
+    status: str
+    errors: tuple[str, ...]
+    downloaded: int
+    uploaded: int
+
+
+def run_sync(
+    store: Store, pages: Iterable[DataFrame], send: Callable[[DataFrame], DataFrame], policy=accept_remote, strategy=None, progress: Callable[[str, int], None] | None = None, cancelled: Callable[[], bool] = lambda: False
+) -> SyncResult:
+    """Downloads page by page, then uploads. Errors of either half are gathered and do not stop the other half.
+
+    ``progress`` hears of each page and answer, ``cancelled`` is asked before
+    each page and before the upload. The outcome and the time are kept as the
+    store's state, whatever happens; pages that were stored stay stored.
+    """
+    tell = progress or (lambda step, n: None)
+    errors: list[str] = []
+    down = up = 0
+    stopped = False
+    try:
+        for page in pages:
+            if stopped := cancelled():
+                break
+            store.sync_download([page], policy)
+            down += 1
+            tell("download", down)
+    except Exception as e:  # noqa: BLE001  the upload still has its turn
+        errors.append(f"download: {e}")
+    stopped = stopped or cancelled()
+    if not stopped:
+        try:
+            answers = store.sync_upload(send, strategy)
+            up = answers.where("ok").count()
+            tell("upload", up)
+            errors += [f"upload: {r.resource_type}/{r.resource_id}" for r in answers.where("NOT ok").orderBy(*PAIR).limit(100).collect()]
+            if not store.log.isEmpty() and not errors:
+                errors.append("upload: changes without an answer are left")
+        except Exception as e:  # noqa: BLE001  the outcome is kept
+            errors.append(f"upload: {e}")
+    status = "cancelled" if stopped else "failed" if errors else "succeeded"
+    at = store.spark.range(1).select(store.clock().cast("string")).first()[0]
+    store.set_states({"sync_status": status, "sync_errors": json.dumps(errors), "last_sync": at})
+    return SyncResult(status, tuple(errors), down, up)

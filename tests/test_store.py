@@ -8,7 +8,7 @@ from corvane.operators.bundles import UploadStrategy, bundle_entries, map_respon
 from corvane.operators.criteria import Date, Modifier, Number, Quantity, Reference, Text, Token, contact_token, token_of
 from corvane.operators.search import Search
 from corvane.operators.sync import accept_local, accept_remote, rewrite_ids, rewrite_log
-from corvane.sources.store import NotFound, PendingChanges, Store
+from corvane.sources.store import Conflict, NotFound, PendingChanges, Store, run_sync
 
 
 def docs(spark, *items):
@@ -195,3 +195,74 @@ def test_squash_errors_and_merges(spark):
 
 def test_contact_token():
     assert contact_token("555", "home") == Token("555", "home")
+
+
+def test_a_crash_between_the_steps_of_a_write_changes_nothing(spark, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.create(docs(spark, *PEOPLE))
+    for step in ("_point", "_snapshot"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                s.delete(s.resources.select("resource_type", "resource_id") if step == "_point" else docs(spark, PEOPLE[0]))
+        again = Store(spark, f"file://{tmp_path}/s")
+        assert again.resources.count() == len(PEOPLE) and again.log.count() == len(PEOPLE)
+    s.vacuum()
+    assert Store(spark, f"file://{tmp_path}/s").resources.count() == len(PEOPLE)
+
+
+def test_state_leaves_data_files_alone_and_two_writers_do_not_mix(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.create(docs(spark, PEOPLE[0]))
+    before = {p: p.stat().st_mtime_ns for n in ("resources", "index", "log") for p in tmp_path.rglob(f"{n}/**/*.parquet")}
+    s.set_state("a", "1")
+    s.set_states({"a": "2", "b": "3"})
+    after = {p: p.stat().st_mtime_ns for n in ("resources", "index", "log") for p in tmp_path.rglob(f"{n}/**/*.parquet")}
+    assert before == after and s.get_state("a") == "2" and s.get_state("b") == "3" and s.resources.count() == 1
+    with pytest.raises(Conflict):
+        s._point("{}", s._numbers()[-1], "other")
+    assert s.resources.count() == 1
+
+
+def test_the_last_of_two_documents_with_one_id_is_stored_and_both_are_logged(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.create(docs(spark, {**PEOPLE[0], "gender": "male"}, {**PEOPLE[0], "gender": "other"}).coalesce(1))
+    assert s.resources.count() == 1 and json.loads(s.get("Patient", "a"))["gender"] == "other"
+    assert [json.loads(r.payload)["gender"] for r in s.log.orderBy("seq").collect()] == ["male", "other"]
+
+
+def test_upload_goes_by_references_stops_at_a_failure_and_takes_new_ids(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    seen = {"resourceType": "Observation", "id": "o1", "status": "final", "subject": {"reference": "Patient/a"}}
+    s.create(docs(spark, seen, PEOPLE[0]))
+    sent, fail = [], {"Observation/o1"}
+
+    def send(entries):
+        rows = entries.collect()
+        sent.append([(r.resource_type, r.resource_id, r.payload) for r in rows])
+        out = [(r.resource_type, r.resource_id, f"{r.resource_type}/{r.resource_id}" not in fail, "2", None, "srv" if r.resource_id == "a" else None) for r in rows]
+        return spark.createDataFrame(out, "resource_type string, resource_id string, ok boolean, version_id string, last_updated timestamp, new_id string")
+
+    result = run_sync(s, [], send, strategy=UploadStrategy(create_verb="POST", bundle_size=1))
+    assert [[x[:2] for x in b] for b in sent] == [[("Patient", "a")], [("Observation", "o1")]]
+    assert json.loads(sent[1][0][2])["subject"] == {"reference": "Patient/srv"}
+    assert result.status == "failed" and result.errors == ("upload: Observation/o1",) and s.get_state("sync_status") == "failed"
+    assert [r.resource_id for r in s.log.collect()] == ["o1"] and json.loads(s.get("Patient", "srv"))["id"] == "srv"
+    assert json.loads(s.get("Observation", "o1"))["subject"] == {"reference": "Patient/srv"}
+    fail.clear()
+    heard = []
+    page = docs(spark, {**PEOPLE[1], "meta": {"versionId": "1"}})
+    result = run_sync(s, [page], send, progress=lambda step, n: heard.append((step, n)))
+    assert result.status == "succeeded" and heard == [("download", 1), ("upload", 1)] and s.log.isEmpty() and s.last_sync()
+    assert run_sync(s, [page], send, cancelled=lambda: True).status == "cancelled"
+    assert s.search("Observation?subject=Patient/srv").count() == 1
+
+
+def test_components_and_levels_have_no_cap(spark):
+    names = [f"n{i:02d}" for i in range(12)]
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    dense = [(a, b) for k, a in enumerate(names[:6]) for b in names[:k]] + [(names[6], names[7]), (names[7], names[8]), (names[8], names[6]), (names[9], names[6])]
+    edges = spark.createDataFrame(dense, "src string, dst string")
+    got = {r.node: r.component for r in ordering.strongly_connected(nodes, edges).collect()}
+    assert got == {n: "n06" if n in ("n06", "n07", "n08") else n for n in names}
+    assert {r.node: r.level for r in ordering.levels(nodes.where("node < 'n06'"), edges.where("src < 'n06'")).collect()} == {f"n{i:02d}": i for i in range(6)}
