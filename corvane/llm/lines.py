@@ -59,23 +59,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed_lines(docs: DataFrame, leading: int = LEADING, parts: int = PARTS) -> DataFrame:
-    """``(doc, own, line, template, general)`` for each template of each line; ``own`` is the hash of the whole text."""
+    """``(doc, own, line, template)`` for each template of each line; ``own`` is the hash of the whole text.
+
+    The last bit of a template's number tells that a part of it varies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, lines, names, general = [], [], [], []
+            rows, lines, names = [], [], []
             for row, text in enumerate(batch.column(2)):
-                for k, line in enumerate(text.as_py().encode().split(b"\n")):
+                for place, line in enumerate(text.as_py().encode().split(b"\n")):
                     found = templates(line, leading, parts)
                     rows += [row] * len(found)
-                    lines += [k] * len(found)
-                    names += map(xxhash.xxh3_64_intdigest, found)
-                    general += [x > 0 for x in range(len(found))]
+                    lines += [place] * len(found)
+                    names += [xxhash.xxh3_64_intdigest(x) & ~1 | (k > 0) for k, x in enumerate(found)]
             at = pa.array(rows, pa.int64())
-            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(general, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "own", "line", "template", "general"])
+            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.int32()), pa.array(np.array(names, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "own", "line", "template"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, own long, line int, template long, general boolean")
+    return _keyed(docs).mapInArrow(run, "doc long, own long, line int, template long")
 
 
 def _apart(df: DataFrame, key: str) -> DataFrame:
@@ -84,11 +86,18 @@ def _apart(df: DataFrame, key: str) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, parts: int = PARTS) -> DataFrame:
-    """``(doc, own, drops array<int>)``: the line numbers that each text loses; texts that lose none are left out."""
+    """``(doc, own, drops array<int>)``: the line numbers that each text loses; texts that lose none are left out.
+
+    Templates of a single document go first, which needs no list of documents;
+    the documents of the others are counted among their lines.
+    """
     lines = cut_lineage(parsed_lines(docs, leading, parts))
-    spread = lines.select("template", "general", "doc").distinct().groupBy("template", "general").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    often = spread.where(F.col("n") >= F.when(F.col("general"), F.lit(min_docs)).otherwise(2)).select("template", "first")
-    lost = lines.select("doc", "own", "line", "template").join(_apart(often, "template"), "template").where("doc <> first")
+    general = F.col("template").bitwiseAND(F.lit(1).cast("long")) == 1
+    spread = lines.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    spread = spread.where((F.col("first") < F.col("last")) & (~general | (F.col("n") >= min_docs))).select("template", "first")
+    hits = cut_lineage(lines.join(_apart(spread, "template"), "template"))
+    known = hits.where(general).select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    lost = hits.where(~general).unionByName(hits.where(general).join(_apart(known, "template"), "template").drop("n")).where("doc <> first")
     return lost.groupBy("doc", "own").agg(F.collect_set("line").alias("drops"))
 
 
