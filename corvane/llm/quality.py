@@ -3,8 +3,8 @@
 Every token has a sparse ternary index vector drawn from its hash. A word's
 vector is the sum of the index vectors of its neighbours in the fitting
 documents (random indexing), scaled to one, plus its own index vector; words
-that the fit has not seen take the vector of their shape (case, digits,
-length). A document is the mean of its tokens' vectors, over its whole text.
+that the fit has seen fewer than ``SEEN`` times take the vector of their shape
+(case, digits, length). A document is the mean of its tokens' vectors, over its whole text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 DIM, NONZERO, REACH = 96, 6, 2
-#: Bounds of the fit: labelled rows (their whole texts), and words with a vector of their own.
-FIT_ROWS, VOCABULARY = 6000, 12_000
+#: Labelled rows of the fit (their whole texts), and occurrences among them that make a word's neighbours tell something.
+FIT_ROWS, SEEN = 6000, 20
 SHAPES = [f"{c}{n}" for c in ("lower", "upper", "title", "mixed", "digit", "other") for n in (1, 3, 6, 12, 99)]
 _SHAPE_NUMBER = {s: i for i, s in enumerate(SHAPES)}
 
@@ -106,7 +106,7 @@ class Model:
 def word_vectors(token_lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
     """Random indexing over the fitting documents: the words, and a row for each of them and each shape."""
     counts = Counter(t for tokens in token_lists for t in tokens)
-    words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1]
+    words = sorted(w for w, n in counts.items() if n >= SEEN)
     number = {w: i for i, w in enumerate(words)}
     own = np.stack([*(index_vector(w) for w in words), *(index_vector(f"\n{s}") for s in SHAPES)])
     own[: len(words)] += np.array([own[len(words) + _SHAPE_NUMBER[shape(w)]] for w in words], dtype=np.float32).reshape(-1, DIM)

@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
 
-from corvane.llm.quality import Model, classify, fit, keep_quality
+import numpy as np
+import pytest
+
+from corvane.llm.quality import DIM, REACH, SHAPES, TOKEN, Model, classify, fit, index_vector, keep_quality, shape, word_vectors
 
 
 def corpus(n, seed=1):
@@ -55,3 +59,31 @@ def test_no_labels_no_documents_and_round_trip(spark):
     same = Model.load(model.dump())
     for text in (rows[0][1], "", None, "word " * 20000, "\u0000 <>"):
         assert abs(model.score(model.pool(text)[None])[0] - same.score(same.pool(text)[None])[0]) < 1e-9
+
+
+def test_vectors_pooling_and_scores_match_plain_loops():
+    rows = corpus(120)
+    texts = [t for _, t, _ in rows]
+    model = fit(texts, [y for _, _, y in rows])
+    lists = [TOKEN.findall(t) for t in texts]
+    words, vectors = word_vectors(lists)
+    assert words == model.words and set(words) == {w for w in {t for x in lists for t in x} if sum(x.count(w) for x in lists) >= 20}
+    name = lambda t: t if t in model.number else "\n" + shape(t)
+    base = lambda t: index_vector(t) + (index_vector("\n" + shape(t)) if not t.startswith("\n") else 0)
+    for w in [words[0], words[-1]]:
+        near = np.zeros(DIM)
+        for tokens in lists:
+            for i, t in enumerate(tokens):
+                if t == w:
+                    for j in range(max(0, i - REACH), min(len(tokens), i + REACH + 1)):
+                        near = near + (base(name(tokens[j])) if j != i else 0)
+        assert vectors[words.index(w)] == pytest.approx(base(w) + near / np.linalg.norm(near), abs=1e-4)
+    for text in (texts[0], texts[1], texts[4], "one unseen UNSEEN 12 !!", "a a a b"):
+        tokens = TOKEN.findall(text)
+        place = [model.number[t] if t in model.number else len(words) + SHAPES.index(shape(t)) for t in tokens]
+        mean = [sum(float(model.vectors[p][d]) for p in place) / len(tokens) for d in range(DIM)]
+        x = [*mean, math.sqrt(sum(v * v for v in mean)), len(set(tokens)) / len(tokens), sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / len(tokens)]
+        w = model.weights
+        hidden = [math.tanh(sum((x[i] - w["mean"][i]) / w["scale"][i] * w["w1"][i][k] for i in range(len(x))) + w["b1"][k]) for k in range(len(w["b1"]))]
+        z = (sum(h * v for h, v in zip(hidden, w["w2"], strict=True)) + float(w["b2"][0])) / model.temperature
+        assert model.score(model.pool(text)[None])[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
