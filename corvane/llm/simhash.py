@@ -311,8 +311,37 @@ def looked_up(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """For each of ``2**k`` places, about as many as there are hashes, whether an odd number of the hashes lead there."""
+    n = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    places = (hashes >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=n) & 1).astype(bool)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A number of elements that are in one of two sets only, at least: places of unlike parity.
+
+    An element in both sets changes neither; one in a single set changes one
+    place. The finer bits are folded onto the coarser ones, which keeps that.
+    """
+    a, b = sorted((np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y)), key=len)
+    return int(np.count_nonzero(a ^ np.bitwise_xor.reduce(b.reshape(len(a), -1), axis=1)))
+
+
+def _maybe_alike(similarity: float):
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            far = np.array([differing(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(far <= size * most + 1e-9))
+
+    return run
+
+
 def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float, words_per_shingle: int) -> DataFrame:
-    """``(id, same, fp, n, looks)`` of each row; ``same`` identifies a sequence of words, ``n`` counts its shingles."""
+    """``(id, same, fp, n, bits, looks)`` of each row; ``same`` identifies a sequence of words, ``n`` counts its shingles, ``bits`` are their parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,9 +351,10 @@ def _sketches(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity
             held = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
             n = pa.array([len(h) for h in held], pa.int64())
             looks = pa.array([looked_up(h, common, similarity).view(np.int64) for h in held], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, fps, n, looks], ["id", "same", "fp", "n", "looks"])
+            bits = pa.array([parity_bits(h) for h in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, fps, n, bits, looks], ["id", "same", "fp", "n", "bits", "looks"])
 
-    return _keyed(docs).mapInArrow(run, "id long, same long, fp long, n long, looks array<long>")
+    return _keyed(docs).mapInArrow(run, "id long, same long, fp long, n long, bits binary, looks array<long>")
 
 
 def marked(keys: DataFrame, bits: int = MARKED_BITS) -> bytes:
@@ -393,9 +423,16 @@ def _stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _links(pairs: DataFrame, docs: DataFrame, similarity: float, words_per_shingle: int, folder: str) -> DataFrame:
-    """``(a, b)`` of the pairs that are alike by all their shingles; ``b`` should have the fewer different values."""
-    pairs = _stored(pairs.where("a <> b").distinct(), folder)
+def _links(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float, words_per_shingle: int, folder: str) -> DataFrame:
+    """``(a, b)`` of the pairs that are alike by all their shingles.
+
+    Pairs that differ too much by their parity bits, which never says so of a
+    pair that is alike, go first, so that shingles move for few others.
+    """
+    a = own.select(F.col("same").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    b = own.select(F.col("same").alias("b"), "n", F.col("bits").alias("y"))
+    fit = pairs.where("a <> b").distinct().join(a, "a").join(b, "b").where(_length_fits(similarity))
+    pairs = _stored(fit.select("a", "b", "m", "n", "x", "y").mapInArrow(_maybe_alike(similarity), "a long, b long"), folder)
     x = _sets(docs, pairs.select("a"), words_per_shingle).withColumnsRenamed({"same": "a", "h": "x"})
     y = _sets(docs, pairs.select("b"), words_per_shingle).withColumnsRenamed({"same": "b", "h": "y"})
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
@@ -421,7 +458,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
 
     Candidates are documents whose whole fingerprints are within ``budget``
     bits (trie self-join) or that have a shingle in common among those that
-    they look up; the latter misses no link. Each candidate is verified by all
+    they look up; the latter misses no link. Each candidate that neither sizes
+    nor parity bits rule out, which they do for certain, is verified by all
     its shingles. In a bucket of one shingle all documents are first held
     against one; then those in different components against each other, round
     by round if they are many, until all pairs of a bucket are in one component
@@ -432,7 +470,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
     """
     folder = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
     rows = _stored(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle), folder)
-    own = _stored(rows.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")), folder)
+    own = _stored(rows.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.max("bits").alias("bits")), folder)
     looks = rows.select("same", F.explode("looks").alias("p"))
     heads = looks.groupBy("p").agg(F.min("same").alias("head"), F.max("same").alias("other")).where("head < other").select("p", "head")
     heads = _stored(heads, folder)
@@ -445,8 +483,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
     equal = own.select(F.col("same").alias("a"), "fp").join(_apart(by_fp, "fp"), "fp").select("a", "b")
     size = own.select("same", "n")
     first = near.unionByName(equal).unionByName(shared.select(F.col("same").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
-    first = first.join(size.withColumnsRenamed({"same": "a", "n": "m"}), "a").join(size.withColumnRenamed("same", "b"), "b").where(_length_fits(similarity)).select("a", "b")
-    links = _links(first, docs, similarity, words_per_shingle, folder)
+    links = _links(first, own, docs, similarity, words_per_shingle, folder)
     shared = shared.drop("head").join(size, "same").withColumn("turn", F.xxhash64("same"))
     done, turns = 0, FASTER
     while True:
@@ -463,7 +500,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
         mine = mine.select("p", F.col("same").alias("a"), F.col("n").alias("m"), F.col("root").alias("own"))
         pairs = mine.join(left.select("p", F.col("same").alias("b"), "n", "root"), "p")
         pairs = pairs.where((F.col("own") != F.col("root")) & _length_fits(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.unionByName(_links(pairs, docs, similarity, words_per_shingle, folder))
+        links = links.unionByName(_links(pairs, own, docs, similarity, words_per_shingle, folder))
         done, turns = turns, turns * FASTER
         if last:
             break

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from corvane.llm.minhash import shingle_hashes
-from corvane.llm.simhash import near_groups
+from corvane.llm.simhash import differing, marked, near_groups, parity_bits
 
 
 def words(rnd, n):
@@ -65,3 +67,19 @@ def test_links_at_the_threshold(spark):
         texts += [" ".join(w), " ".join(w[:-cut])]
         want += [len(want), len(want) + (cut > 20)]
     assert found(spark, texts) == want
+
+
+def test_parity_bits_never_overstate_a_difference():
+    rng = np.random.default_rng(3)
+    for m, n, both in ((1, 1, 0), (5, 70, 3), (60, 66, 60), (900, 5000, 400), (0, 9, 0), (0, 0, 0)):
+        x = rng.integers(0, 2**63, m + n - both, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        a, b = x[:m], x[m - both :]
+        assert differing(parity_bits(a), parity_bits(b)) <= m + n - 2 * both
+    a, b = (rng.integers(0, 2**64, 2000, dtype=np.uint64) for _ in range(2))
+    assert differing(parity_bits(a), parity_bits(b)) > 4000 / 9
+
+
+def test_marked_bits(spark):
+    keys = [-(2**63), -1, 0, 5, 2**40 + 7, 2**63 - 1]
+    bits = np.unpackbits(np.frombuffer(marked(spark.createDataFrame([(k,) for k in keys], "same long"), 1 << 18), np.uint8))
+    assert sorted(np.flatnonzero(bits).tolist()) == sorted({k % (1 << 18) for k in keys})
