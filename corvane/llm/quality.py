@@ -25,6 +25,8 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 DIM, NONZERO, REACH = 96, 6, 2
 #: Labelled rows of the fit (their whole texts), and occurrences among them that make a word's neighbours tell something.
 FIT_ROWS, SEEN = 6000, 20
+#: Pairs of neighbours that the fit holds before it counts them.
+FOLD = 1 << 19
 SHAPES = [f"{c}{n}" for c in ("lower", "upper", "title", "mixed", "digit", "other") for n in (1, 3, 6, 12, 99)]
 _SHAPE_NUMBER = {s: i for i, s in enumerate(SHAPES)}
 
@@ -103,6 +105,14 @@ class Model:
         return cls(words, z["vectors"].astype(np.float32), weights, float(z["temperature"]))
 
 
+def _counted(names: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different names, ascending, and the sum of each one's times."""
+    if not names:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, at = np.unique(np.concatenate(names), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(times), len(found)).astype(np.int64)
+
+
 def word_vectors(token_lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
     """Random indexing over the fitting documents: the words, and a row for each of them and each shape."""
     counts = Counter(t for tokens in token_lists for t in tokens)
@@ -110,12 +120,19 @@ def word_vectors(token_lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
     number = {w: i for i, w in enumerate(words)}
     own = np.stack([*(index_vector(w) for w in words), *(index_vector(f"\n{s}") for s in SHAPES)])
     own[: len(words)] += np.array([own[len(words) + _SHAPE_NUMBER[shape(w)]] for w in words], dtype=np.float32).reshape(-1, DIM)
-    context, n, pairs = np.zeros_like(own), len(own), []
+    context, n, held = np.zeros_like(own), len(own), 0
+    pairs: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
     for tokens in token_lists:
         ids = np.array([number[t] if t in number else len(words) + _SHAPE_NUMBER[shape(t)] for t in tokens], dtype=np.int64)
         for d in range(1, REACH + 1):
             pairs += [ids[d:] * n + ids[:-d], ids[:-d] * n + ids[d:]] if len(ids) > d else []
-    pair, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
+        sums += [np.ones(len(p), np.int8) for p in pairs[len(sums) :]]
+        held += 2 * REACH * len(ids)
+        if held > FOLD:
+            pair, times = _counted(pairs, sums)
+            pairs, sums, held = [pair], [times], 0
+    pair, times = _counted(pairs, sums)
     for at in range(0, len(pair), 50_000):
         i, j = np.divmod(pair[at : at + 50_000], n)
         first = np.flatnonzero(np.diff(i, prepend=-1))
@@ -146,7 +163,8 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 400, dec
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Fits vectors and network on four fifths of the rows and the temperature on the rest."""
-    lists = [TOKEN.findall(t or "") for t in texts]
+    same: dict[str, str] = {}
+    lists = [[same.setdefault(t, t) for t in TOKEN.findall(text or "")] for text in texts]
     words, vectors = word_vectors(lists)
     vectors = vectors.astype(np.float16).astype(np.float32)
     model = Model(words, vectors, {}, 1.0)
