@@ -1,10 +1,12 @@
 """Substring deduplication with automata over repeated phrases.
 
-Windows of words that share an anchor (see ``windows``) meet in one task. There
-the recurring ones are confirmed, the confirmed passages of a shard are compiled
-into an Aho-Corasick automaton over word numbers, and the shard's texts stream
-through it, which locates every occurrence. Documents reach the shards that hold
-passages with one of their anchors; no other automaton can match them.
+Hashes tell which segments of documents may hold a recurring window of words
+(see ``windows``) and which shard has to look at them: the one of their anchor. There
+the recurring windows are confirmed on the first occurrences of each class and
+the repeats beside them, the confirmed passages are compiled into an Aho-Corasick
+automaton over word numbers, and every occurrence streams through it.
+Only what an automaton locates is removed. Parts of documents that hold no
+anchor of a shard are not sent to it; its automaton cannot match them.
 """
 
 from __future__ import annotations
@@ -17,28 +19,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import BATCH_ANCHOR, HOT_ANCHOR, Plan, by_text, merged, ranges_batch, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, Plan, by_text, merged, ranges_batch, without_repeats
 
-#: Words of candidate text for one automaton; whole anchors only.
-SHARD_WORDS = 200_000
+#: Words of candidate text for one automaton; whole anchors, or whole salts of hot ones, only.
+SHARD_WORDS = 30_000
+#: Occurrences of one anchor in a shard; above, they are dealt over several, each with an automaton of all the anchor's passages.
+HOT_PASSAGE = 500
 
 
-def confirmed(texts: list[tuple[int, ...]], docs: list[int], size: int) -> set[tuple[int, ...]]:
-    """Windows of ``size`` words that occur in two documents or more."""
-    seen: dict[int, int] = {}
-    shared: set[int] = set()
+def confirmed(texts: list[tuple[int, ...]], docs: list[int], size: int) -> dict[tuple[int, ...], int]:
+    """Windows of ``size`` words that occur in two documents or more, numbered."""
+    seen: dict[tuple[int, ...], int] = {}
+    shared: dict[tuple[int, ...], int] = {}
     for doc, words in zip(docs, texts, strict=True):
         for i in range(len(words) - size + 1):
-            h = hash(words[i : i + size])
-            if seen.setdefault(h, doc) != doc:
-                shared.add(h)
-    return {w for words in texts for i in range(len(words) - size + 1) if hash(w := words[i : i + size]) in shared}
+            if seen.setdefault(w := words[i : i + size], doc) != doc:
+                shared.setdefault(w, len(shared))
+    return shared
 
 
-def automaton(passages: set[tuple[int, ...]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        out.add_word(p, p)
+def automaton(passages: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
+    """Finds the numbers of passages in sequences of word numbers."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for p, number in passages.items():
+        out.add_word(p, number)
     out.make_automaton()
     return out
 
@@ -48,16 +52,17 @@ def occurrences(segs: list[bytes], docs: list[int], texts: list[int], starts: li
     numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
     numbered = [tuple(numbers[w] for w in seg.split()) for seg in segs]
     passages = confirmed(numbered, docs, size)
-    found: list[tuple[int, int, int]] = []
+    hits: list[tuple[int, int, int]] = []
     if passages:
-        search, hits, least = automaton(passages), [], {}
-        for doc, text, start, words in zip(docs, texts, starts, numbered, strict=True):
-            for end, p in search.iter(words):
-                hits.append((p, doc, text, start + end + 1 - size))
-                least[p] = min(least.get(p, doc), doc)
-        found = [(text, s, s + size) for p, doc, text, s in hits if doc > least[p]]
-    text, s, e = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    text, _, s, e = merged(text, np.zeros(len(text), np.int64), s, e)
+        search = automaton(passages)
+        hits = [(p, k, end) for k, words in enumerate(numbered) for end, p in search.iter(words)]
+    p, k, end = np.array(hits, dtype=np.int64).reshape(-1, 3).T
+    doc = np.array(docs, dtype=np.int64)[k]
+    least = np.full(len(passages), np.iinfo(np.int64).max)
+    np.minimum.at(least, p, doc)
+    gone = doc > least[p]
+    k, s = k[gone], np.array(starts, dtype=np.int64)[k[gone]] + end[gone] + 1 - size
+    text, _, s, e = merged(np.array(texts, dtype=np.int64)[k], np.zeros(len(k), np.int64), s, s + size)
     return text, s, e
 
 
@@ -72,11 +77,11 @@ def _compare(size: int, shard_words: int):
             return ranges_batch(texts, *occurrences(list(seg), list(doc), number.tolist(), list(s), size))
 
         for batch in batches:
-            for ah, doc, own, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "doc", "own", "s", "seg")), strict=True):
-                if total >= shard_words and ah != at:
+            for ah, salt, doc, own, s, seg in zip(*(batch.column(n).to_pylist() for n in ("ah", "salt", "doc", "own", "s", "seg")), strict=True):
+                if total >= shard_words and (ah, salt) != at:
                     yield flush()
                     held, total = [], 0
-                at = ah
+                at = ah, salt
                 held.append((doc, own, s, seg))
                 total += seg.count(b" ") + 1
         if held:
@@ -85,7 +90,7 @@ def _compare(size: int, shard_words: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot_anchor: int = HOT_ANCHOR, batch_anchor: int = BATCH_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot_anchor: int = HOT_PASSAGE, batch_anchor: int = BATCH_ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(doc_id, n_tokens, spans, kept)`` for ``docs(doc_id, text)`` as words ``[^\\x20\\x09-\\x0D]+``.
 
     Every word covered by a window of ``size`` words whose sequence also starts
@@ -96,4 +101,4 @@ def remove_repeated_passages(docs: DataFrame, size: int = 50, gram: int = 8, hot
     all get its result; rows that share an id but not a text each lose
     only what of themselves also starts in a smaller id.
     """
-    return without_repeats(docs, Plan(size, gram, True, True), _compare(size, shard_words), hot_anchor, batch_anchor)
+    return without_repeats(docs, Plan(size, gram, True, True, locate=True), _compare(size, shard_words), hot_anchor, batch_anchor)

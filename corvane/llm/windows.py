@@ -8,7 +8,10 @@ a document with one anchor form a *segment*; a document has about
 in two segments with equal content (one *class*) or in two classes with the same
 anchor. Classes are settled by their hashes alone; only classes that share an
 anchor with another class go on to a comparison of their tokens (``needs``), one
-occurrence of each.
+occurrence of each. A plan with ``locate`` takes hashes as confirmation that
+something recurs and no more: every occurrence of a recurring class, and of
+classes that share an anchor, goes on with its tokens, and only what is found in
+these counts (``located_ranges``).
 
 Hot anchors are split up twice. A batch in which an anchor has very many different
 segments sends every window of them under its own hashes, and only a mark under the
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut_lineage, free_shuffles, shuffle_width
 
-OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK = range(6)
+OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK, REPEAT, WINDOW_REPEAT = range(8)
 ROWS = "kind byte, ah long, sh long, doc long, own long, s int, e int"
 NAMES = ["kind", "ah", "sh", "doc", "own", "s", "e"]
 NO_ID = -(2**63)
@@ -43,6 +46,10 @@ NO_ID = -(2**63)
 PIECE = 1 << 20
 #: Occurrences of one anchor that a task compares; above, its windows are dealt out by their own hashes.
 HOT_ANCHOR = 4000
+#: Segments that are cut before they are handed on.
+CUT_ROWS = 20_000
+PARTS = "ah,salt,hot,doc,own,s,seg"
+CUT = "ah long, salt int, hot boolean, doc long, own long, s int, seg binary"
 #: Different segments of one anchor that a batch of rows sends to the anchor's task; above, it sends windows and a mark.
 BATCH_ANCHOR = 32
 
@@ -51,12 +58,13 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.ui
 
 @dataclass(frozen=True)
 class Plan:
-    """Window and gram lengths in tokens, bytes or words, and which earlier starts count."""
+    """Window and gram lengths in tokens, bytes or words, which earlier starts count, and whether tokens must confirm equal hashes."""
 
     size: int
     gram: int
     words: bool
     strict: bool
+    locate: bool = False
 
     def tokens(self, data: bytes) -> np.ndarray:
         """The bytes of a text, or 64-bit hashes of its words."""
@@ -160,8 +168,16 @@ def _repeat_mask(new_class: np.ndarray, doc: np.ndarray, own: np.ndarray, s: np.
     return doc > doc[first] if strict else (doc != doc[first]) | (own != own[first]) | (s != s[first])
 
 
-def combine(ah, sh, doc, own, s, e, strict: bool, kind: int = OCCURS) -> Iterator[pa.RecordBatch]:
-    """Settles classes inside one batch: repeats become ranges, first occurrences go on as ``kind``."""
+def _spread(own: np.ndarray) -> np.ndarray:
+    return _mix(own.astype(np.int64).view(np.uint64) + _C)
+
+
+def combine(ah, sh, doc, own, s, e, plan: Plan, kind: int = OCCURS) -> Iterator[pa.RecordBatch]:
+    """Settles classes inside one batch: repeats become ranges, first occurrences go on as ``kind``.
+
+    With ``plan.locate`` a class's first repeat goes on too, which tells that it
+    recurs; the others become ``REPEAT`` or ``WINDOW_REPEAT`` rows, with their anchor in ``sh``.
+    """
     order = np.argsort(ah)
     a = ah[order]
     same = np.zeros(len(a), dtype=bool)
@@ -173,11 +189,17 @@ def combine(ah, sh, doc, own, s, e, strict: bool, kind: int = OCCURS) -> Iterato
     if len(dup):
         new = np.ones(len(dup), dtype=bool)
         new[1:] = (ah[dup[1:]] != ah[dup[:-1]]) | (sh[dup[1:]] != sh[dup[:-1]])
-        gone = dup[_repeat_mask(new, doc[dup], own[dup], s[dup], strict)]
+        gone = dup[_repeat_mask(new, doc[dup], own[dup], s[dup], plan.strict)]
+        if plan.locate and len(gone):
+            again = np.zeros(len(gone), dtype=bool)
+            again[1:] = (ah[gone[1:]] == ah[gone[:-1]]) & (sh[gone[1:]] == sh[gone[:-1]])
+            gone = gone[again]
         keep[gone] = False
-        d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
-        if len(d):
-            yield _rows(RANGE, _mix(o.astype(np.int64).view(np.uint64) + _C), np.zeros(len(d), np.int64), d, o, rs, re)
+        if plan.locate:
+            yield _rows(WINDOW_REPEAT if kind == WINDOW else REPEAT, _spread(own[gone]), ah[gone], doc[gone], own[gone], s[gone], e[gone])
+        else:
+            d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
+            yield _rows(RANGE, _spread(o), np.zeros(len(d), np.int64), d, o, rs, re)
     yield _rows(kind, ah[keep], sh[keep], doc[keep], own[keep], s[keep], e[keep])
 
 
@@ -239,20 +261,22 @@ def _occurrences(plan: Plan, batch_anchor: int):
             hot = anchors[times > batch_anchor]
             if len(hot):
                 split = np.isin(ah, hot)
-                yield from combine(*_as_windows(kept, *(x[split] for x in (piece, begin, end, doc, own, s)), plan.size), plan.strict, WINDOW)
+                yield from combine(*_as_windows(kept, *(x[split] for x in (piece, begin, end, doc, own, s)), plan.size), plan, WINDOW)
                 none = np.zeros(len(hot), np.int64)
                 yield _rows(MARK, hot, np.full(len(hot), NO_ID), none, none, none, none)
                 ah, sh, doc, own, s, e = (x[~split] for x in (ah, sh, doc, own, s, e))
-            yield from combine(ah, sh, doc, own, s, e, plan.strict)
+            yield from combine(ah, sh, doc, own, s, e, plan)
 
     return run
 
 
-def _settle(strict: bool, windows: bool = False):
+def _settle(plan: Plan, windows: bool = False):
     """Streams rows sorted by (ah, sh, doc, own, s): repeats of a class become ranges, classes that share an anchor needs.
 
     Classes of an anchor with a mark become hot needs. ``windows``: the rows
-    are windows under their own hashes, which have no needs.
+    are windows under their own hashes, which have no needs. With ``plan.locate``
+    repeats stay rows of their own, and the first occurrence of a class that recurs
+    is needed too, that of a window included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +286,7 @@ def _settle(strict: bool, windows: bool = False):
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             marks = cols[1][cols[0] == MARK]
-            passed = (cols[0] == RANGE) | ((cols[0] == WINDOW) & (not windows))
+            passed = np.isin(cols[0], (RANGE, REPEAT, WINDOW_REPEAT)) | ((cols[0] == WINDOW) & (not windows))
             for kind in np.unique(cols[0][passed]):
                 mine = cols[0] == kind
                 yield _rows(int(kind), *(c[mine] for c in cols[1:]))
@@ -279,18 +303,22 @@ def _settle(strict: bool, windows: bool = False):
             new_group[1:] = ah[1:] != ah[:-1]
             new_class = new_group.copy()
             new_class[1:] |= sh[1:] != sh[:-1]
-            gone = _repeat_mask(new_class, doc, own, s, strict)
+            gone = _repeat_mask(new_class, doc, own, s, plan.strict)
             gone[:ghosts] = False
-            if gone.any():
+            if gone.any() and plan.locate:
+                yield _rows(WINDOW_REPEAT if windows else REPEAT, np.zeros(gone.sum(), np.int64), *(x[gone] for x in (ah, doc, own, s, e)))
+            elif gone.any():
                 d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
                 yield _rows(RANGE, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, o, rs, re)
             at = np.flatnonzero(new_group)
             hot = np.isin(ah[at], hot_anchors)
             many = (np.add.reduceat(new_class.astype(np.int64), at) > 1) | hot
+            if plan.locate:
+                many |= np.logical_or.reduceat(gone, at)
             if ghosts and mixed:
                 many[0] = True
             each = np.diff(np.append(at, len(ah)))
-            need = np.repeat(many, each) & ~gone & (not windows)
+            need = np.repeat(many, each) & ~gone & (plan.locate or not windows)
             if ghosts and told:
                 need[:ghosts] = False
             for kind, mine in ((NEED, need & ~np.repeat(hot, each)), (HOT_NEED, need & np.repeat(hot, each))):
@@ -315,13 +343,20 @@ def _by_window(plan: Plan):
                 pieces = [plan.tokens(x) for x in batch.column("seg").to_pylist()]
                 none, end = np.zeros(len(doc), np.int64), np.array([len(x) for x in pieces])
                 rows = _as_windows(pieces, np.arange(len(doc)), none, end, doc, own, s, plan.size)
-                yield from combine(*rows, plan.strict, WINDOW)
+                yield from combine(*rows, plan, WINDOW)
 
     return run
 
 
+def _salt(doc: int, own: int, s: int, salts: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{doc} {own} {s}") % salts if salts > 1 else 0
+
+
 def _cut(plan: Plan):
-    """The tokens of needed segments, out of whole texts: bytes, or words joined by a space."""
+    """The tokens of needed segments, out of whole texts: bytes, or words joined by a space.
+
+    Where an anchor is dealt over several salts, first occurrences go to each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,10 +366,17 @@ def _cut(plan: Plan):
                 words = data.split() if plan.words else None
                 for n in needs:
                     seg = data[n["s"] : n["e"]] if words is None else b" ".join(words[n["s"] : n["e"]])
-                    out.append((n["ah"], n["hot"], doc, own, n["s"], seg))
+                    for salt in range(n["salts"]) if n["first"] else [_salt(doc, own, n["s"], n["salts"])]:
+                        out.append((n["ah"], salt, n["hot"], doc, own, n["s"], seg))
+                    if len(out) >= CUT_ROWS:
+                        yield rows(out)
+                        out = []
             if out:
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["ah", "hot", "doc", "own", "s", "seg"])
+                yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], PARTS.split(","))
 
     return run
 
@@ -357,24 +399,70 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
     that also start earlier in another row with the same anchor.
     """
     texts, key = _keyed(docs), ["doc", "own"]
-    rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan.strict), ROWS))
+    rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan), ROWS))
     free_shuffles(docs.sparkSession)
     ranges = rows.where(F.col("kind") == RANGE).select(*key, "s", "e")
     needs = rows.where(F.col("kind").isin(NEED, HOT_NEED)).withColumn("marked", F.col("kind") == HOT_NEED)
     hot = needs.groupBy("ah").count().where(F.col("count") > hot_anchor).select("ah", F.lit(True).alias("hot"))
-    needs = needs.join(hot, "ah", "left").select(*key, F.struct("ah", "s", "e", F.coalesce("hot", "marked").alias("hot")).alias("n"))
+    needs = needs.join(hot, "ah", "left").select(*key, F.struct("ah", "s", "e", F.coalesce("hot", "marked").alias("hot"), F.lit(1).alias("salts"), F.lit(True).alias("first")).alias("n"))
     wanted = needs.groupBy(*key).agg(F.collect_set("n").alias("needs"))
-    parts = texts.join(wanted, key).select(*key, "text", "needs").mapInArrow(_cut(plan), "ah long, hot boolean, doc long, own long, s int, seg binary")
+    parts = texts.join(wanted, key).select(*key, "text", "needs").mapInArrow(_cut(plan), CUT)
     parts = cut_lineage(parts.dropDuplicates(["ah", "doc", "own", "s"]))
     free_shuffles(docs.sparkSession)
     cold = parts.where("not hot").repartition(shuffle_width(docs.sparkSession), "ah").sortWithinPartitions("ah", "doc", "own", "s")
     ranges = ranges.unionByName(cold.mapInArrow(compare, "doc long, own long, s int, e int"))
     loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
-    by_window = _dealt(loose).mapInArrow(_settle(plan.strict, windows=True), ROWS)
+    by_window = _dealt(loose).mapInArrow(_settle(plan, windows=True), ROWS)
     ranges = ranges.unionByName(by_window.where(F.col("kind") == RANGE).select(*key, "s", "e"))
     return ranges.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
+def _occurring(texts: DataFrame, rows: DataFrame, plan: Plan, most: int, split: bool) -> DataFrame:
+    """The tokens of all first and repeated occurrences in settled ``rows``, dealt over salts where an anchor has more than ``most``.
+
+    ``split``: anchors with a mark, or more than ``most`` classes, are flagged ``hot`` instead.
+    """
+    repeat = F.col("kind") == (REPEAT if split else WINDOW_REPEAT)
+    told = rows.where(repeat | F.col("kind").isin(NEED, HOT_NEED)).select(
+        F.when(repeat, F.col("sh")).otherwise(F.col("ah")).alias("ah"), "doc", "own", "s", "e", (~repeat).alias("first"), (F.col("kind") == HOT_NEED).alias("marked")
+    )
+    sizes = told.groupBy("ah").agg(F.count("*").alias("n"), F.count_if("first").alias("classes"), F.max("marked").alias("marked"))
+    sizes = sizes.where((F.col("n") > most) | F.col("marked"))
+    sizes = sizes.select("ah", F.ceil(F.col("n") / most).cast("int").alias("salts"), (F.lit(split) & (F.col("marked") | (F.col("classes") > most))).alias("hot"))
+    hot, salts = F.coalesce("hot", F.lit(False)), F.coalesce("salts", F.lit(1))
+    told = told.join(sizes, "ah", "left").select("doc", "own", F.struct("ah", "s", "e", hot.alias("hot"), F.when(hot, 1).otherwise(salts).alias("salts"), "first").alias("n"))
+    wanted = told.groupBy("doc", "own").agg(F.collect_set("n").alias("needs"))
+    return texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "needs").mapInArrow(_cut(plan), CUT)
+
+
+def _dealt_parts(parts: DataFrame) -> DataFrame:
+    """Parts by anchor and salt, in order, each once."""
+    dealt = parts.repartition(shuffle_width(parts.sparkSession), "ah", "salt")
+    return dealt.dropDuplicates(["ah", "salt", "doc", "own", "s"]).sortWithinPartitions("ah", "salt", "doc", "own", "s")
+
+
+def located_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: int, batch_anchor: int) -> DataFrame:
+    """As ``repeated_ranges``, with every range from ``compare``, which gets all occurrences of what recurs.
+
+    An anchor with more than ``hot_anchor`` occurrences is dealt over salts, each
+    with the first occurrence of all its classes. One with more classes, or with a
+    mark, is split into windows; those that recur are occurrences under their
+    own hash, dealt in the same way.
+    """
+    texts, found = _keyed(docs), "doc long, own long, s int, e int"
+    rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan), ROWS))
+    free_shuffles(docs.sparkSession)
+    parts = cut_lineage(_occurring(texts, rows, plan, hot_anchor, True))
+    free_shuffles(docs.sparkSession)
+    loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
+    loose = loose.unionByName(rows.where(F.col("kind") == WINDOW_REPEAT))
+    windows = cut_lineage(_dealt(loose).mapInArrow(_settle(plan, windows=True), ROWS))
+    free_shuffles(docs.sparkSession)
+    ranges = _dealt_parts(parts.where("not hot")).mapInArrow(compare, found)
+    ranges = ranges.unionByName(_dealt_parts(_occurring(texts, windows, plan, hot_anchor, False)).mapInArrow(compare, found))
+    return ranges.groupBy("doc", "own").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+
+
 def by_text(doc: list[int], own: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``(doc, own)`` in order, as rows, and the number of each given one among them."""
     return np.unique(np.array([doc, own], dtype=np.int64).T.reshape(-1, 2), axis=0, return_inverse=True)
@@ -417,6 +505,6 @@ def without_repeats(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
                 types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_tokens", "spans", "kept"])
 
-    found = repeated_ranges(docs, plan, compare, hot_anchor, batch_anchor)
+    found = (located_ranges if plan.locate else repeated_ranges)(docs, plan, compare, hot_anchor, batch_anchor)
     both = _keyed(docs).join(found, ["doc", "own"], "left").select("doc", "text", "ranges")
     return both.mapInArrow(run, "doc_id long, n_tokens long, spans array<struct<s: long, e: long>>, kept binary")

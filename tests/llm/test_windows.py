@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from corvane.llm import passages
 from corvane.llm.passages import remove_repeated_passages
 from corvane.llm.suffix import interleave, remove_repeated_bytes, repeated_intervals, repeats, suffix_order, transform
 from corvane.llm.windows import Plan, segments, sliding_min
@@ -83,6 +84,29 @@ def test_production_sizes(spark):
     check(rows, remove_repeated_passages(docs).collect(), 50, True, True)
 
 
+def test_without_automata_no_passage_goes(spark, monkeypatch):
+    rnd = random.Random(12)
+    stock = [" ".join(rnd.choices("abcdefgh", k=30)) for _ in range(3)]
+    rows = [(i, " ".join([*rnd.choices("abcdefgh", k=rnd.randint(0, 20)), stock[i % 3]])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot, batch in ((500, 32), (2, 32), (2, 1)):
+        args = {"size": 12, "gram": 4, "hot_anchor": hot, "batch_anchor": batch}
+        check(rows, remove_repeated_passages(docs, **args).collect(), 12, True, True)
+        with monkeypatch.context() as patch:
+            patch.setattr(passages, "_compare", lambda *_: lambda batches: (b.select(["doc", "own", "s", "s"]).slice(0, 0).rename_columns(["doc", "own", "s", "e"]) for b in batches))
+            left = remove_repeated_passages(docs, **args).collect()
+        assert all(r.spans == [] and bytes(r.kept).decode() == dict(rows)[r.doc_id] for r in left)
+
+
+def test_a_passage_in_very_many_copies_is_dealt_over_salts(spark):
+    rnd = random.Random(13)
+    copy = " ".join(rnd.choices("abcdefgh", k=30))
+    rows = [(i, copy if i % 4 else f"{i} {copy} {-i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (100, 20):
+        check(rows, remove_repeated_passages(docs, size=12, gram=4, hot_anchor=hot).collect(), 12, True, True)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_bytes(docs).count() == 0
