@@ -46,6 +46,8 @@ NO_ID = -(2**63)
 PIECE = 1 << 20
 #: Occurrences of one anchor that a task compares; above, its windows are dealt out by their own hashes.
 HOT_ANCHOR = 4000
+#: Tasks over which the rows of one anchor are dealt while its size is joined.
+JOIN_SALTS = 32
 #: Segments that are cut before they are handed on.
 CUT_ROWS = 20_000
 PARTS = "ah,salt,hot,doc,own,s,seg"
@@ -417,27 +419,85 @@ def repeated_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor:
     return ranges.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
-def _occurring(texts: DataFrame, rows: DataFrame, plan: Plan, most: int, split: bool) -> DataFrame:
-    """The tokens of all first and repeated occurrences in settled ``rows``, dealt over salts where an anchor has more than ``most``.
+def _cut_runs(plan: Plan):
+    """Runs of recurring windows as segments under their anchors: those of first occurrences, and those of repeats."""
 
-    ``split``: anchors with a mark, or more than ``most`` classes, are flagged ``hot`` instead.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, own, text, starts in zip(*batch.columns, strict=True):
+                doc, own, data = doc.as_py(), own.as_py(), text.as_py().encode()
+                words, starts = data.split() if plan.words else None, starts.as_py()
+                for first in (True, False):
+                    at = sorted(n["s"] for n in starts if n["first"] == first)
+                    breaks = [k for k in range(1, len(at)) if at[k] != at[k - 1] + 1]
+                    for a, b in zip([0, *breaks], [*breaks, len(at)], strict=True) if at else ():
+                        begin, end = at[a], at[b - 1] + plan.size
+                        tokens = plan.tokens(b" ".join(words[begin:end]) if plan.words else data[begin:end])
+                        _, s, e, ah, _ = segments(tokens, np.array([len(tokens)]), plan)
+                        for x, y, h in zip((s + begin).tolist(), (e + begin).tolist(), ah.view(np.int64).tolist(), strict=True):
+                            out.append((h, first, doc, own, x, data[x:y] if words is None else b" ".join(words[x:y])))
+            if out:
+                yield _run_rows(out)
+
+    return run
+
+
+RUNS = "ah long, first boolean, doc long, own long, s int, seg binary"
+
+
+def _run_rows(out: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["ah", "first", "doc", "own", "s", "seg"])
+
+
+def _run_windows(plan: Plan):
+    """Each window of runs under its own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, doc, own, s, seg in zip(*(batch.column(n).to_pylist() for n in ("first", "doc", "own", "s", "seg")), strict=True):
+                items = seg.split() if plan.words else seg
+                hashes = np.array(_window_hashes(plan.tokens(seg), plan.size, 0, len(items) - plan.size)[0], np.uint64).view(np.int64).tolist()
+                cut = (items[i : i + plan.size] for i in range(len(hashes)))
+                yield _run_rows([(h, first, doc, own, s + i, b" ".join(x) if plan.words else x) for i, (h, x) in enumerate(zip(hashes, cut, strict=True))])
+
+    return run
+
+
+def _sized(rows: DataFrame, most: int, marked: str = "false") -> DataFrame:
+    """``rows`` with ``salts``, over which its anchor is dealt, and ``hot``: it has more than ``most`` first occurrences, or a mark.
+
+    Only anchors of more than ``most`` rows, or with a mark, are joined, each as
+    ``JOIN_SALTS`` rows, so that no task gets all rows of one.
     """
-    repeat = F.col("kind") == (REPEAT if split else WINDOW_REPEAT)
+    sizes = rows.groupBy("ah").agg(F.count("*").alias("n"), F.count_if("first").alias("classes"), F.max(F.expr(marked)).alias("m")).where((F.col("n") > most) | F.col("m"))
+    sizes = sizes.select("ah", F.ceil(F.col("n") / most).cast("int").alias("salts"), (F.col("m") | (F.col("classes") > most)).alias("hot"))
+    sizes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))).withColumn("part", F.col("part").cast("long"))
+    joined = rows.withColumn("part", F.pmod(F.xxhash64("doc", "own", "s"), F.lit(JOIN_SALTS).cast("long"))).join(sizes, ["ah", "part"], "left").drop("part")
+    return joined.withColumns({"hot": F.coalesce("hot", F.lit(False)), "salts": F.coalesce("salts", F.lit(1))})
+
+
+def _occurring(texts: DataFrame, rows: DataFrame, plan: Plan, most: int) -> DataFrame:
+    """The tokens of all first and repeated occurrences in settled ``rows``; ``hot`` ones are to be split into windows."""
+    repeat = F.col("kind") == REPEAT
     told = rows.where(repeat | F.col("kind").isin(NEED, HOT_NEED)).select(
         F.when(repeat, F.col("sh")).otherwise(F.col("ah")).alias("ah"), "doc", "own", "s", "e", (~repeat).alias("first"), (F.col("kind") == HOT_NEED).alias("marked")
     )
-    sizes = told.groupBy("ah").agg(F.count("*").alias("n"), F.count_if("first").alias("classes"), F.max("marked").alias("marked"))
-    sizes = sizes.where((F.col("n") > most) | F.col("marked"))
-    sizes = sizes.select("ah", F.ceil(F.col("n") / most).cast("int").alias("salts"), (F.lit(split) & (F.col("marked") | (F.col("classes") > most))).alias("hot"))
-    hot, salts = F.coalesce("hot", F.lit(False)), F.coalesce("salts", F.lit(1))
-    told = told.join(sizes, "ah", "left").select("doc", "own", F.struct("ah", "s", "e", hot.alias("hot"), F.when(hot, 1).otherwise(salts).alias("salts"), "first").alias("n"))
-    wanted = told.groupBy("doc", "own").agg(F.collect_set("n").alias("needs"))
+    need = F.struct("ah", "s", "e", "hot", F.when(F.col("hot"), 1).otherwise(F.col("salts")).alias("salts"), "first")
+    wanted = _sized(told, most, "marked").groupBy("doc", "own").agg(F.collect_set(need).alias("needs"))
     return texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "needs").mapInArrow(_cut(plan), CUT)
 
 
+def _salted(runs: DataFrame) -> DataFrame:
+    """Sized runs with their salt; first occurrences go to every salt of their anchor."""
+    own = F.array(F.pmod(F.xxhash64("doc", "own", "s"), F.col("salts").cast("long")).cast("int"))
+    return runs.withColumn("salt", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(own)))
+
+
 def _dealt_parts(parts: DataFrame) -> DataFrame:
     """Parts by anchor and salt, in order, each once."""
-    dealt = parts.repartition(shuffle_width(parts.sparkSession), "ah", "salt")
+    dealt = parts.select("ah", "salt", "doc", "own", "s", "seg").repartition(shuffle_width(parts.sparkSession), "ah", "salt")
     return dealt.dropDuplicates(["ah", "salt", "doc", "own", "s"]).sortWithinPartitions("ah", "salt", "doc", "own", "s")
 
 
@@ -446,20 +506,25 @@ def located_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: i
 
     An anchor with more than ``hot_anchor`` occurrences is dealt over salts, each
     with the first occurrence of all its classes. One with more classes, or with a
-    mark, is split into windows; those that recur are occurrences under their
-    own hash, dealt in the same way.
+    mark, is split into windows, and the runs of those that recur are its occurrences;
+    where their first occurrences are still more, each window goes under its own hash.
     """
     texts, found = _keyed(docs), "doc long, own long, s int, e int"
     rows = cut_lineage(_dealt(texts.mapInArrow(_occurrences(plan, batch_anchor), ROWS)).mapInArrow(_settle(plan), ROWS))
     free_shuffles(docs.sparkSession)
-    parts = cut_lineage(_occurring(texts, rows, plan, hot_anchor, True))
+    parts = cut_lineage(_occurring(texts, rows, plan, hot_anchor))
     free_shuffles(docs.sparkSession)
     loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
     loose = loose.unionByName(rows.where(F.col("kind") == WINDOW_REPEAT))
-    windows = cut_lineage(_dealt(loose).mapInArrow(_settle(plan, windows=True), ROWS))
+    windows = _dealt(loose).mapInArrow(_settle(plan, windows=True), ROWS).select("doc", "own", F.struct("s", (F.col("kind") != WINDOW_REPEAT).alias("first")).alias("n"))
+    wanted = windows.groupBy("doc", "own").agg(F.collect_set("n").alias("starts"))
+    runs = cut_lineage(texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "starts").mapInArrow(_cut_runs(plan), RUNS))
     free_shuffles(docs.sparkSession)
+    sized = _sized(runs, hot_anchor)
+    single = _sized(sized.where("hot").select(*runs.columns).mapInArrow(_run_windows(plan), RUNS), hot_anchor)
     ranges = _dealt_parts(parts.where("not hot")).mapInArrow(compare, found)
-    ranges = ranges.unionByName(_dealt_parts(_occurring(texts, windows, plan, hot_anchor, False)).mapInArrow(compare, found))
+    for more in (sized.where("not hot"), single):
+        ranges = ranges.unionByName(_dealt_parts(_salted(more)).mapInArrow(compare, found))
     return ranges.groupBy("doc", "own").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
