@@ -13,29 +13,53 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.windows import BATCH_ANCHOR, Plan, by_text, merged, ranges_batch, without_repeats
+from corvane.llm.windows import BATCH_ANCHOR, Plan, _mix, by_text, merged, ranges_batch, without_repeats
 
 #: Words of candidate text for one automaton; whole anchors, or whole salts of hot ones, only.
 SHARD_WORDS = 30_000
 #: Occurrences of one anchor in a shard; above, they are dealt over several, each with an automaton of all the anchor's passages.
 HOT_PASSAGE = 500
+#: Odd bases of the rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+def _rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Polynomial hash modulo 2^64 of the ``size`` numbers from each position, by differences of prefix sums."""
+    up = np.cumprod(np.full(len(x), base, dtype=np.uint64))
+    down = np.cumprod(np.full(len(x), pow(base, -1, 1 << 64), dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up)])
+    return (sums[size:] - sums[:-size]) * down[: len(x) - size + 1]
 
 
 def confirmed(texts: list[tuple[int, ...]], docs: list[int], size: int) -> dict[tuple[int, ...], int]:
-    """Windows of ``size`` words that occur in two documents or more, numbered."""
-    seen: dict[tuple[int, ...], int] = {}
-    shared: dict[tuple[int, ...], int] = {}
-    for doc, words in zip(docs, texts, strict=True):
-        for i in range(len(words) - size + 1):
-            if seen.setdefault(w := words[i : i + size], doc) != doc:
-                shared.setdefault(w, len(shared))
-    return shared
+    """Windows of ``size`` words that occur in two documents or more, numbered.
+
+    They are told apart by two 64-bit hashes.
+    """
+    lengths = np.array([len(w) for w in texts], dtype=np.int64)
+    windows = np.maximum(lengths - size + 1, 0)
+    if not windows.any():
+        return {}
+    x = np.fromiter(chain.from_iterable(texts), np.uint64, int(lengths.sum()))
+    x = _mix(x + np.uint64(1))
+    text = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    where = at + (np.cumsum(lengths) - lengths)[text]
+    one, two = (_rolling(x, size, base)[where] for base in BASES)
+    doc = np.array(docs, dtype=np.int64)[text]
+    order = np.lexsort((doc, two, one))
+    one, two, doc = one[order], two[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    shared = first[doc[first] != doc[np.append(first[1:], len(doc)) - 1]]
+    text, at = text[order[shared]], at[order[shared]]
+    return {texts[k][i : i + size]: n for n, (k, i) in enumerate(zip(text.tolist(), at.tolist(), strict=True))}
 
 
 def automaton(passages: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
@@ -50,13 +74,14 @@ def automaton(passages: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
 def occurrences(segs: list[bytes], docs: list[int], texts: list[int], starts: list[int], size: int) -> tuple[np.ndarray, ...]:
     """``(text, s, e)`` of the windows in ``segs`` that also start in a smaller document of them."""
     numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
-    numbered = [tuple(numbers[w] for w in seg.split()) for seg in segs]
+    numbered = [tuple(map(numbers.__getitem__, seg.split())) for seg in segs]
     passages = confirmed(numbered, docs, size)
-    hits: list[tuple[int, int, int]] = []
-    if passages:
-        search = automaton(passages)
-        hits = [(p, k, end) for k, words in enumerate(numbered) for end, p in search.iter(words)]
-    p, k, end = np.array(hits, dtype=np.int64).reshape(-1, 3).T
+    if not passages:
+        return (np.zeros(0, np.int64),) * 3
+    search = automaton(passages)
+    hits = [list(search.iter(words)) for words in numbered]
+    k = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
+    end, p = np.fromiter(chain.from_iterable(chain.from_iterable(hits)), np.int64, 2 * len(k)).reshape(-1, 2).T
     doc = np.array(docs, dtype=np.int64)[k]
     least = np.full(len(passages), np.iinfo(np.int64).max)
     np.minimum.at(least, p, doc)
