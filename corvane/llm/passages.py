@@ -38,10 +38,20 @@ def _rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * down[: len(x) - size + 1]
 
 
+def _classes(x: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
+    """A number for the ``size`` numbers from each place, equal where two 64-bit hashes of them are."""
+    one, two = (_rolling(x, size, base)[where] for base in BASES)
+    order = np.lexsort((two, one))
+    out = np.zeros(len(where), dtype=np.int64)
+    out[order[1:]] = np.cumsum((one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]))
+    return out
+
+
 def confirmed(texts: list[tuple[int, ...]], docs: list[int], size: int) -> dict[tuple[int, ...], int]:
-    """Windows of ``size`` words that occur in two documents or more, numbered.
+    """Passages, numbered, of all windows of ``size`` words that occur in two documents or more.
 
-    They are told apart by two 64-bit hashes.
+    Windows that follow each other wherever one of them stands form one passage,
+    so every occurrence of a window lies in one of its passage.
     """
     lengths = np.array([len(w) for w in texts], dtype=np.int64)
     windows = np.maximum(lengths - size + 1, 0)
@@ -52,14 +62,26 @@ def confirmed(texts: list[tuple[int, ...]], docs: list[int], size: int) -> dict[
     text = np.repeat(np.arange(len(texts)), windows)
     at = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
     where = at + (np.cumsum(lengths) - lengths)[text]
-    one, two = (_rolling(x, size, base)[where] for base in BASES)
-    doc = np.array(docs, dtype=np.int64)[text]
-    order = np.lexsort((doc, two, one))
-    one, two, doc = one[order], two[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-    shared = first[doc[first] != doc[np.append(first[1:], len(doc)) - 1]]
-    text, at = text[order[shared]], at[order[shared]]
-    return {texts[k][i : i + size]: n for n, (k, i) in enumerate(zip(text.tolist(), at.tolist(), strict=True))}
+    cls = _classes(x, where, size)
+    times, doc = np.bincount(cls), np.array(docs, dtype=np.int64)[text]
+    least, most = np.full(len(times), np.iinfo(np.int64).max), np.full(len(times), np.iinfo(np.int64).min)
+    np.minimum.at(least, cls, doc)
+    np.maximum.at(most, cls, doc)
+    shared = (least != most)[cls]
+    link = np.zeros(len(cls), dtype=bool)  # this window and the next one always stand together
+    ahead = np.flatnonzero(shared[:-1] & (text[1:] == text[:-1]))
+    if len(ahead):
+        pair = _classes(x, where[ahead], size + 1)
+        both = np.bincount(pair)[pair]
+        link[ahead] = (both == times[cls[ahead]]) & (both == times[cls[ahead + 1]])
+    begin = shared.copy()
+    begin[1:] &= ~link[:-1]
+    begin = np.flatnonzero(begin)
+    begin = begin[np.unique(cls[begin], return_index=True)[1]]
+    last = np.flatnonzero(~link)
+    last = last[np.searchsorted(last, begin)]
+    found = zip(text[begin].tolist(), at[begin].tolist(), at[last].tolist(), strict=True)
+    return {texts[k][i : j + size]: n for n, (k, i, j) in enumerate(found)}
 
 
 def automaton(passages: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
@@ -86,8 +108,9 @@ def occurrences(segs: list[bytes], docs: list[int], texts: list[int], starts: li
     least = np.full(len(passages), np.iinfo(np.int64).max)
     np.minimum.at(least, p, doc)
     gone = doc > least[p]
-    k, s = k[gone], np.array(starts, dtype=np.int64)[k[gone]] + end[gone] + 1 - size
-    text, _, s, e = merged(np.array(texts, dtype=np.int64)[k], np.zeros(len(k), np.int64), s, s + size)
+    k, e = k[gone], np.array(starts, dtype=np.int64)[k[gone]] + end[gone] + 1
+    s = e - np.array([len(x) for x in passages])[p[gone]]
+    text, _, s, e = merged(np.array(texts, dtype=np.int64)[k], np.zeros(len(k), np.int64), s, e)
     return text, s, e
 
 

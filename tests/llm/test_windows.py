@@ -98,6 +98,24 @@ def test_without_automata_no_passage_goes(spark, monkeypatch):
         assert all(r.spans == [] and bytes(r.kept).decode() == dict(rows)[r.doc_id] for r in left)
 
 
+def test_passages_cover_the_windows_of_two_documents_or_more():
+    rnd = random.Random(14)
+    for _ in range(200):
+        size = rnd.randint(1, 6)
+        texts = [tuple(rnd.choices(range(3), k=rnd.randint(0, 14))) for _ in range(rnd.randint(1, 8))]
+        texts += rnd.choices(texts, k=rnd.randint(0, 2))
+        docs = [rnd.randint(-3, 4) for _ in texts]
+        where = {}
+        for d, w in zip(docs, texts, strict=True):
+            for i in range(len(w) - size + 1):
+                where.setdefault(w[i : i + size], set()).add(d)
+        held = passages.confirmed(texts, docs, size)
+        assert {p[i : i + size] for p in held for i in range(len(p) - size + 1)} == {w for w, d in where.items() if len(d) > 1}
+        text, s, e = passages.occurrences([" ".join(map(str, w)).encode() for w in texts], docs, list(range(len(texts))), [0] * len(texts), size)
+        got = {(k, x) for k, a, b in zip(text, s, e, strict=True) for x in range(a, b)}
+        assert got == {(k, x) for k, w in enumerate(texts) for i in range(len(w) - size + 1) if min(where[w[i : i + size]]) < docs[k] for x in range(i, i + size)}
+
+
 def test_a_passage_in_very_many_copies_is_dealt_over_salts(spark):
     rnd = random.Random(13)
     copy = " ".join(rnd.choices("abcdefgh", k=30))
