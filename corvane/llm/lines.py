@@ -15,6 +15,7 @@ with a smaller id. Whether it goes does not depend on what else is in its leaf.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage
+from corvane.llm.warc import remove_folder
+from corvane.session import cut_lineage, free_shuffles, shared_dir, stored
 
 FIELD = b"<*>"
 LEADING, PARTS, MIN_DOCS = 3, 4, 3
@@ -89,16 +91,26 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LE
     """``(doc, own, drops array<int>)``: the line numbers that each text loses; texts that lose none are left out.
 
     Templates of a single document go first, which needs no list of documents;
-    the documents of the others are counted among their lines.
+    the documents of the others are counted among their lines. Rows of lines
+    leave the disk as soon as they are not read any more, before texts move.
     """
-    lines = cut_lineage(parsed_lines(docs, leading, parts))
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines = stored(parsed_lines(docs, leading, parts), f"{folder}/all")
     general = F.col("template").bitwiseAND(F.lit(1).cast("long")) == 1
     spread = lines.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     spread = spread.where((F.col("first") < F.col("last")) & (~general | (F.col("n") >= min_docs))).select("template", "first")
-    hits = cut_lineage(lines.join(_apart(spread, "template"), "template"))
+    hits = stored(lines.join(_apart(spread, "template"), "template"), f"{folder}/hits")
+    remove_folder(spark, f"{folder}/all")
+    del lines, spread
+    free_shuffles(spark)
     known = hits.where(general).select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     lost = hits.where(~general).unionByName(hits.where(general).join(_apart(known, "template"), "template").drop("n")).where("doc <> first")
-    return lost.groupBy("doc", "own").agg(F.collect_set("line").alias("drops"))
+    found = cut_lineage(lost.groupBy("doc", "own").agg(F.collect_set("line").alias("drops")))
+    remove_folder(spark, folder)
+    del hits, known, lost
+    free_shuffles(spark)
+    return found
 
 
 def drop_lines(docs: DataFrame, **rules) -> DataFrame:

@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """Written as Parquet and read again.
+
+    A checkpoint would take several times the bytes, and would keep the planner's size
+    estimate, whose digits multiply by each round's joins.
+    """
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files that no live plan reads any more.
 

@@ -1,7 +1,9 @@
+import os
 import random
 from collections import defaultdict
 
 from corvane.llm.lines import drop_lines
+from corvane.session import shared_dir
 
 
 def mask(line):
@@ -83,3 +85,15 @@ def test_unlike_lines_do_not_switch_a_template_off(spark):
     docs = spark.createDataFrame(list(enumerate(lines + unlike)), "doc_id long, text string")
     got = {r.doc_id: r.n_dropped for r in drop_lines(docs).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
+def test_rows_of_lines_leave_the_disk(spark):
+    rnd = random.Random(8)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    texts = ["\n".join(" ".join(rnd.choices(words, k=12)) for _ in range(20)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t + "\nthe same last line") for i, t in enumerate(texts)], "doc_id long, text string")
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    held = lambda: sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(folder) for name in names)
+    before = held()
+    assert sum(r.n_dropped for r in drop_lines(docs).collect()) == 199
+    assert held() - before < sum(map(len, texts)) / 2
