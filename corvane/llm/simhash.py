@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corvane.llm.graph import connected_components
 from corvane.llm.minhash import shingle_hashes
 from corvane.llm.warc import remove_folder
-from corvane.session import cut_lineage, free_shuffles, shared_dir, shuffle_width
+from corvane.session import cut_lineage, free_shuffles, shared_dir, shuffle_width, stored
 
 SEED = 42
 #: Rows of one trie root that a task takes; larger roots are split a few bits deeper.
@@ -416,13 +416,6 @@ def _apart(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def _stored(df: DataFrame, folder: str) -> DataFrame:
-    """Written and read again: a checkpoint would keep the planner's size estimate, whose digits multiply by each round's joins."""
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _links(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float, words_per_shingle: int, folder: str) -> DataFrame:
     """``(a, b)`` of the pairs that are alike by all their shingles.
 
@@ -432,11 +425,11 @@ def _links(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float,
     a = own.select(F.col("same").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     b = own.select(F.col("same").alias("b"), "n", F.col("bits").alias("y"))
     fit = pairs.where("a <> b").distinct().join(a, "a").join(b, "b").where(_length_fits(similarity))
-    pairs = _stored(fit.select("a", "b", "m", "n", "x", "y").mapInArrow(_maybe_alike(similarity), "a long, b long"), folder)
+    pairs = stored(fit.select("a", "b", "m", "n", "x", "y").mapInArrow(_maybe_alike(similarity), "a long, b long"), folder)
     x = _sets(docs, pairs.select("a"), words_per_shingle).withColumnsRenamed({"same": "a", "h": "x"})
     y = _sets(docs, pairs.select("b"), words_per_shingle).withColumnsRenamed({"same": "b", "h": "y"})
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return _stored(both.mapInArrow(_alike(similarity), "a long, b long"), folder)
+    return stored(both.mapInArrow(_alike(similarity), "a long, b long"), folder)
 
 
 def _length_fits(similarity: float) -> F.Column:
@@ -445,12 +438,18 @@ def _length_fits(similarity: float) -> F.Column:
 
 
 def _across(shared: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """``(p, same, n, turn, root, rows, most)`` of the buckets that hold several components, ``most`` being the largest of them."""
+    """``(p, same, n, hub, root, rows, most)`` of the buckets that hold several components.
+
+    ``most`` is the component of the documents marked ``hub``, or where none is, the
+    largest one; its documents are the marked ones of the result. So a document that is
+    in it stays in it, whichever component becomes the largest later.
+    """
     named = shared.join(_apart(connected_components(links), "node"), F.col("same") == F.col("node"), "left")
-    named = named.select("p", "same", "n", "turn", F.coalesce("component", "same").alias("root"))
-    counts = named.groupBy("p", "root").agg(F.count("*").alias("c"))
-    split = counts.groupBy("p").agg(F.count("*").alias("roots"), F.sum("c").alias("rows"), F.max_by("root", F.struct("c", "root")).alias("most"))
-    return _stored(named.join(_apart(split.where("roots > 1"), "p").drop("roots"), "p"), folder)
+    named = named.select("p", "same", "n", "hub", F.coalesce("component", "same").alias("root"))
+    counts = named.groupBy("p", "root").agg(F.count("*").alias("c"), F.max("hub").alias("h"))
+    split = counts.groupBy("p").agg(F.count("*").alias("roots"), F.sum("c").alias("rows"), F.max_by("root", F.struct("h", "c", "root")).alias("most"))
+    both = named.join(_apart(split.where("roots > 1"), "p").drop("roots"), "p")
+    return stored(both.withColumn("hub", F.col("root") == F.col("most")), folder)
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words_per_shingle: int = 5) -> DataFrame:
@@ -469,29 +468,29 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
     group.
     """
     folder = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
-    rows = _stored(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle), folder)
-    own = _stored(rows.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.max("bits").alias("bits")), folder)
-    looks = rows.select("same", F.explode("looks").alias("p"))
+    rows = stored(_sketches(docs, common_shingles(docs, words_per_shingle), similarity, words_per_shingle), folder)
+    own = stored(rows.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.max("bits").alias("bits")), folder)
+    looks = rows.select("same", "n", F.explode("looks").alias("p"))
     heads = looks.groupBy("p").agg(F.min("same").alias("head"), F.max("same").alias("other")).where("head < other").select("p", "head")
-    heads = _stored(heads, folder)
+    heads = stored(heads, folder)
     free_shuffles(docs.sparkSession)
-    shared = _stored(looks.join(_apart(heads, "p"), "p").select("p", "same", "head").distinct(), folder)
+    shared = stored(looks.join(_apart(heads, "p"), "p").select("p", "same", "n", "head").distinct(), folder)
     free_shuffles(docs.sparkSession)
     by_fp = own.groupBy("fp").agg(F.min("same").alias("b"))
     near = near_edges(by_fp, budget).withColumnRenamed("a", "fp").join(by_fp.withColumnRenamed("b", "a"), "fp").select("a", F.col("b").alias("fp"))
     near = near.join(by_fp, "fp").select("a", "b")
     equal = own.select(F.col("same").alias("a"), "fp").join(_apart(by_fp, "fp"), "fp").select("a", "b")
-    size = own.select("same", "n")
     first = near.unionByName(equal).unionByName(shared.select(F.col("same").alias("a"), F.col("head").alias("b"))).where("a <> b").distinct()
     links = _links(first, own, docs, similarity, words_per_shingle, folder)
-    shared = shared.drop("head").join(size, "same").withColumn("turn", F.xxhash64("same"))
+    left = shared.drop("head").withColumn("hub", F.lit(False))
     done, turns = 0, FASTER
     while True:
-        left = _across(shared, links, folder)
-        # At least one document of a pair is outside the bucket's largest component.
+        # A bucket that is in one component stays so and is not read again.
+        left = _across(left.select("p", "same", "n", "hub"), links, folder)
+        # At least one document of a pair is outside the bucket's hub, its largest component in the first round.
         # They take their turns in the order of a hash, about ``turns`` of a bucket before the mark.
-        share = (F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("rows")
-        few = left.where((F.col("root") != F.col("most")) & (share >= done))
+        share = (F.xxhash64("same") / F.lit(2.0**64) + 0.5) * F.col("rows")
+        few = left.where(~F.col("hub") & (share >= done))
         total = few.agg(F.sum("rows")).first()[0] or 0
         if not total:
             break

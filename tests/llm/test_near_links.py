@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from corvane.llm import simhash
 from corvane.llm.minhash import shingle_hashes
 from corvane.llm.simhash import differing, marked, near_groups, parity_bits
 
@@ -83,3 +84,33 @@ def test_marked_bits(spark):
     keys = [-(2**63), -1, 0, 5, 2**40 + 7, 2**63 - 1]
     bits = np.unpackbits(np.frombuffer(marked(spark.createDataFrame([(k,) for k in keys], "same long"), 1 << 18), np.uint8))
     assert sorted(np.flatnonzero(bits).tolist()) == sorted({k % (1 << 18) for k in keys})
+
+
+def test_settled_buckets_are_not_read_again(spark, monkeypatch):
+    rnd, texts = random.Random(15), []
+    for _ in range(30):
+        w = words(rnd, 60)
+        texts += [" ".join(w), " ".join(w[:-1])]
+    shared = words(rnd, 20)
+    texts += [" ".join(shared + words(rnd, 8)) for _ in range(30)]
+    across, read = simhash._across, []
+
+    def counted(rows, *args):
+        read.append(rows.count())
+        return across(rows, *args)
+
+    monkeypatch.setattr(simhash, "_across", counted)
+    monkeypatch.setattr(simhash, "PAIRS", 0)
+    monkeypatch.setattr(simhash, "FASTER", 2)
+    assert found(spark, texts) == components(texts)
+    assert len(read) > 2 and max(read[1:]) < read[0]
+
+
+def test_the_hub_of_a_bucket_stays_the_hub(spark, tmp_path):
+    rows = [(9, i, 10, False) for i in range(1, 8)] + [(8, 1, 10, False), (8, 2, 10, False)]
+    shared = spark.createDataFrame(rows, "p long, same long, n long, hub boolean")
+    links = [(1, 2), (1, 3), (4, 5), (6, 7)]
+    once = simhash._across(shared, spark.createDataFrame(links, "a long, b long"), f"{tmp_path}")
+    assert {(r.p, r.most) for r in once.collect()} == {(9, 1)}
+    again = simhash._across(once.select(shared.columns), spark.createDataFrame([*links, (4, 6)], "a long, b long"), f"{tmp_path}")
+    assert {(r.same, r.root, r.most, r.hub) for r in again.collect()} == {(i, 1 if i < 4 else 4, 1, i < 4) for i in range(1, 8)}
