@@ -17,7 +17,9 @@ Hot anchors are split up twice. A batch in which an anchor has very many differe
 segments sends every window of them under its own hashes, and only a mark under the
 anchor; where a mark or very many classes meet, the anchor's other classes follow
 as windows too. All windows of an anchor that is split up so meet by their hashes,
-equal ones of a batch in one row, so no task gets all rows of a hot passage.
+equal ones of a batch in one row, so no task gets all rows of a hot passage. Of a class
+that recurs, a plan with ``locate`` sends the windows of the first occurrences and of one
+repeat (``PROOF``): those of all others are equal, so these stay whole.
 
 A text is told by its id and the hash of all of it, so that rows with one id and
 unlike texts never lose each other's ranges. A window is a repeat if it also
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut_lineage, free_shuffles, shuffle_width
 
-OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK, REPEAT, WINDOW_REPEAT = range(8)
+OCCURS, RANGE, NEED, HOT_NEED, WINDOW, MARK, REPEAT, WINDOW_REPEAT, PROOF = range(9)
 ROWS = "kind byte, ah long, sh long, doc long, own long, s int, e int"
 NAMES = ["kind", "ah", "sh", "doc", "own", "s", "e"]
 NO_ID = -(2**63)
@@ -48,6 +50,8 @@ PIECE = 1 << 20
 HOT_ANCHOR = 4000
 #: Tasks over which the rows of one anchor are dealt while its size is joined.
 JOIN_SALTS = 32
+#: Salt of a hot anchor's repeat that is not split into windows.
+WHOLE = -1
 #: Segments that are cut before they are handed on.
 CUT_ROWS = 20_000
 PARTS = "ah,salt,hot,doc,own,s,seg"
@@ -277,8 +281,9 @@ def _settle(plan: Plan, windows: bool = False):
 
     Classes of an anchor with a mark become hot needs. ``windows``: the rows
     are windows under their own hashes, which have no needs. With ``plan.locate``
-    repeats stay rows of their own, and the first occurrence of a class that recurs
-    is needed too, that of a window included.
+    repeats stay rows of their own, a class's first one (of each batch) as its
+    proof, and the first occurrence of a class that recurs is needed too, that of
+    a window included.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +313,10 @@ def _settle(plan: Plan, windows: bool = False):
             gone = _repeat_mask(new_class, doc, own, s, plan.strict)
             gone[:ghosts] = False
             if gone.any() and plan.locate:
-                yield _rows(WINDOW_REPEAT if windows else REPEAT, np.zeros(gone.sum(), np.int64), *(x[gone] for x in (ah, doc, own, s, e)))
+                proof = gone.copy()
+                proof[1:] &= ~gone[:-1]  # a class begins with first occurrences, held ones included
+                for kind, mine in ((WINDOW_REPEAT, gone),) if windows else ((REPEAT, gone & ~proof), (PROOF, proof)):
+                    yield _rows(kind, np.zeros(mine.sum(), np.int64), *(x[mine] for x in (ah, doc, own, s, e)))
             elif gone.any():
                 d, o, rs, re = merged(doc[gone], own[gone], s[gone], e[gone])
                 yield _rows(RANGE, np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, o, rs, re)
@@ -358,6 +366,7 @@ def _cut(plan: Plan):
     """The tokens of needed segments, out of whole texts: bytes, or words joined by a space.
 
     Where an anchor is dealt over several salts, first occurrences go to each.
+    Without ``salts`` a need keeps the salt ``WHOLE``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +377,7 @@ def _cut(plan: Plan):
                 words = data.split() if plan.words else None
                 for n in needs:
                     seg = data[n["s"] : n["e"]] if words is None else b" ".join(words[n["s"] : n["e"]])
-                    for salt in range(n["salts"]) if n["first"] else [_salt(doc, own, n["s"], n["salts"])]:
+                    for salt in range(n["salts"]) if n["first"] else [_salt(doc, own, n["s"], n["salts"]) if n["salts"] else WHOLE]:
                         out.append((n["ah"], salt, n["hot"], doc, own, n["s"], seg))
                     if len(out) >= CUT_ROWS:
                         yield rows(out)
@@ -479,12 +488,13 @@ def _sized(rows: DataFrame, most: int, marked: str = "false") -> DataFrame:
 
 
 def _occurring(texts: DataFrame, rows: DataFrame, plan: Plan, most: int) -> DataFrame:
-    """The tokens of all first and repeated occurrences in settled ``rows``; ``hot`` ones are to be split into windows."""
-    repeat = F.col("kind") == REPEAT
+    """The tokens of all first and repeated occurrences in settled ``rows``; ``hot`` ones are to be split into windows, but for the salt ``WHOLE``."""
+    repeat = F.col("kind").isin(REPEAT, PROOF)
     told = rows.where(repeat | F.col("kind").isin(NEED, HOT_NEED)).select(
-        F.when(repeat, F.col("sh")).otherwise(F.col("ah")).alias("ah"), "doc", "own", "s", "e", (~repeat).alias("first"), (F.col("kind") == HOT_NEED).alias("marked")
+        F.when(repeat, F.col("sh")).otherwise(F.col("ah")).alias("ah"), "doc", "own", "s", "e", (~repeat).alias("first"), (F.col("kind") == HOT_NEED).alias("marked"), (F.col("kind") == REPEAT).alias("whole")
     )
-    need = F.struct("ah", "s", "e", "hot", F.when(F.col("hot"), 1).otherwise(F.col("salts")).alias("salts"), "first")
+    salts = F.when(F.col("hot"), F.when(F.col("whole"), 0).otherwise(1)).otherwise(F.col("salts"))
+    need = F.struct("ah", "s", "e", "hot", salts.alias("salts"), "first")
     wanted = _sized(told, most, "marked").groupBy("doc", "own").agg(F.collect_set(need).alias("needs"))
     return texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "needs").mapInArrow(_cut(plan), CUT)
 
@@ -506,7 +516,8 @@ def located_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: i
 
     An anchor with more than ``hot_anchor`` occurrences is dealt over salts, each
     with the first occurrence of all its classes. One with more classes, or with a
-    mark, is split into windows, and the runs of those that recur are its occurrences;
+    mark, is split into windows, and the runs of those that recur are its occurrences,
+    as are the repeats that stay whole;
     where their first occurrences are still more, each window goes under its own hash.
     """
     texts, found = _keyed(docs), "doc long, own long, s int, e int"
@@ -514,11 +525,12 @@ def located_ranges(docs: DataFrame, plan: Plan, compare: Callable, hot_anchor: i
     free_shuffles(docs.sparkSession)
     parts = cut_lineage(_occurring(texts, rows, plan, hot_anchor))
     free_shuffles(docs.sparkSession)
-    loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where("hot").mapInArrow(_by_window(plan), ROWS))
+    loose = rows.where(F.col("kind") == WINDOW).unionByName(parts.where(f"hot and salt <> {WHOLE}").mapInArrow(_by_window(plan), ROWS))
     loose = loose.unionByName(rows.where(F.col("kind") == WINDOW_REPEAT))
     windows = _dealt(loose).mapInArrow(_settle(plan, windows=True), ROWS).select("doc", "own", F.struct("s", (F.col("kind") != WINDOW_REPEAT).alias("first")).alias("n"))
     wanted = windows.groupBy("doc", "own").agg(F.collect_set("n").alias("starts"))
-    runs = cut_lineage(texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "starts").mapInArrow(_cut_runs(plan), RUNS))
+    whole = parts.where(f"hot and salt = {WHOLE}").select("ah", F.lit(False).alias("first"), "doc", "own", "s", "seg")
+    runs = cut_lineage(texts.join(wanted, ["doc", "own"]).select("doc", "own", "text", "starts").mapInArrow(_cut_runs(plan), RUNS).unionByName(whole))
     free_shuffles(docs.sparkSession)
     sized = _sized(runs, hot_anchor)
     single = _sized(sized.where("hot").select(*runs.columns).mapInArrow(_run_windows(plan), RUNS), hot_anchor)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm import passages
+from corvane.llm import passages, windows
 from corvane.llm.passages import remove_repeated_passages
 from corvane.llm.suffix import interleave, remove_repeated_bytes, repeated_intervals, repeats, suffix_order, transform
 from corvane.llm.windows import Plan, segments, sliding_min
@@ -125,6 +125,23 @@ def test_a_passage_in_very_many_copies_is_dealt_over_salts(spark):
         check(rows, remove_repeated_passages(docs, size=12, gram=4, hot_anchor=hot).collect(), 12, True, True)
 
 
+def test_copies_of_a_hot_segment_are_not_split_into_windows(spark, monkeypatch):
+    rnd = random.Random(16)
+    copy = rnd.choices("abcdefgh", k=30)
+    unlike = [" ".join([*copy[:k], *rnd.choices("abcdefgh", k=4), *copy[k:]]) for k in (14, 15, 16, 17)]
+    rows = [(i, unlike[i % 4] if i % 50 else " ".join(rnd.choices("abcdefgh", k=30))) for i in range(400)]
+    dealt, sizes = windows._dealt, []
+
+    def counted(df):
+        sizes.append(df.count())
+        return dealt(df)
+
+    monkeypatch.setattr(windows, "_dealt", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check(rows, remove_repeated_passages(docs, size=12, gram=4, hot_anchor=2).collect(), 12, True, True)
+    assert len(sizes) == 2 and sizes[1] < 500
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated_bytes(docs).count() == 0
