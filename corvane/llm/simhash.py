@@ -503,6 +503,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, budget: int = 3, words
         done, turns = turns, turns * FASTER
         if last:
             break
+        # All documents of a bucket with fewer rows than ``done`` have had their turn.
+        left = left.where(F.col("rows") >= done)
     linked = connected_components(links)
     named = own.select("same", "id").join(linked, F.col("same") == F.col("node"), "left").select("same", "id", F.coalesce("component", "same").alias("root"))
     named = cut_lineage(named)

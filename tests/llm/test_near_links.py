@@ -106,6 +106,30 @@ def test_settled_buckets_are_not_read_again(spark, monkeypatch):
     assert len(read) > 2 and max(read[1:]) < read[0]
 
 
+def test_buckets_whose_documents_all_had_their_turn_are_not_read_again(spark, monkeypatch):
+    rnd, texts = random.Random(16), []
+    for _ in range(20):
+        shared = words(rnd, 6)
+        texts += [" ".join(words(rnd, 3) + shared + words(rnd, 3)) for _ in range(3)]
+    shared = words(rnd, 8)
+    texts += [" ".join(shared + words(rnd, 8)) for _ in range(40)]
+    w = words(rnd, 8)
+    texts += [" ".join(shared + w), " ".join(shared + w + words(rnd, 1))]
+    across, read = simhash._across, []
+
+    def counted(rows, *args):
+        read.append({p: c for p, c in rows.groupBy("p").count().collect()})
+        return across(rows, *args)
+
+    monkeypatch.setattr(simhash, "_across", counted)
+    monkeypatch.setattr(simhash, "PAIRS", 0)
+    monkeypatch.setattr(simhash, "FASTER", 4)
+    want = components(texts)
+    assert len(set(want)) == len(texts) - 1 and found(spark, texts) == want
+    assert len(read) > 2 and min(read[0].values()) < 4 and max(read[0].values()) > 16
+    assert all(min(r.values(), default=99) >= 4 ** (i + 1) for i, r in enumerate(read[1:]))
+
+
 def test_the_hub_of_a_bucket_stays_the_hub(spark, tmp_path):
     rows = [(9, i, 10, False) for i in range(1, 8)] + [(8, 1, 10, False), (8, 2, 10, False)]
     shared = spark.createDataFrame(rows, "p long, same long, n long, hub boolean")
