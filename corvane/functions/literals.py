@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from decimal import Decimal
+from functools import lru_cache
 
 UTC = dt.timezone.utc
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=UTC)
@@ -42,6 +43,7 @@ def _next_month(year: int, month: int) -> dt.date:
     return dt.date(year + month // 12, month % 12 + 1, 1)
 
 
+@lru_cache(maxsize=1 << 14)  # documents repeat their dates
 def day_range(literal: str) -> tuple[int, int]:
     """Inclusive epoch days of ``yyyy``, ``yyyy-MM`` or ``yyyy-MM-dd``; a time of day narrows to its day."""
     start, end = _day_bounds(literal)
@@ -61,6 +63,7 @@ def _day_bounds(literal: str) -> tuple[dt.date, dt.date]:
     return start, end
 
 
+@lru_cache(maxsize=1 << 14)
 def milli_range(literal: str) -> tuple[int, int]:
     """Inclusive epoch milliseconds that a date or time literal covers at its own precision; no offset is UTC."""
     if _DATE.fullmatch(literal):

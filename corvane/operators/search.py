@@ -90,6 +90,13 @@ class Search:
         return self
 
 
+def params_of(request: Search) -> list[tuple[str, str]]:
+    """Type and name of each parameter that a request looks at, once for each use."""
+    out = [(request.type, g.param) for g in request.groups] + [(request.type, s.param) for s in request.sorts]
+    out += [(request.type, n.param) for n in request.including] + [(n.search.type, n.param) for n in (*request.having, *request.rev_including)]
+    return out + [u for n in (*request.having, *request.including, *request.rev_including) for u in params_of(n.search)]
+
+
 class Index(Protocol):
     """Where resources and their parameters are."""
 

@@ -8,7 +8,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -96,6 +96,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread(rows: DataFrame, *by: Column) -> DataFrame:
+    """``rows`` dealt by ``by`` over all cores, several tasks each, for work that costs far more than reading them.
+
+    A row group of a Parquet file is one task, and a million short rows are one
+    row group. The number is named, so that adaptive execution, which goes by
+    bytes, does not join the tasks again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(shuffle_width(spark), 3 * spark.sparkContext.defaultParallelism), *by)
+
+
 def ensure_worker_path() -> None:
     """Let Python workers that start later import this package by name."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
