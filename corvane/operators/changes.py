@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.jsonpatch import json_apply, json_diff, json_merge, json_references
+from corvane.functions.jsonpatch import json_diff, json_references, json_squash
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 LOG = "seq long, resource_type string, resource_id string, resource_uuid string, ts timestamp, type string, payload string, version_id string"
@@ -94,8 +94,9 @@ def squash(log: DataFrame) -> DataFrame:
     plan = squash_plan(log, steps)
     base = F.when(F.col("type") == INSERT, F.element_at("steps", 1)["payload"])  # Python functions see every row
     patches = F.transform(F.filter("steps", lambda s: s["type"] == UPDATE), lambda s: s["payload"])
-    merged = plan.withColumn("patches", json_merge(patches))
-    payload = F.when(F.col("type") == INSERT, json_apply(base, F.col("patches"))).when(F.col("type") == UPDATE, F.col("patches")).when(F.col("type") == DELETE, F.lit(""))
+    wanted = F.when(F.col("type").isin(INSERT, UPDATE), patches).otherwise(F.array().cast("array<string>"))
+    merged = plan.withColumn("squashed", json_squash(F.coalesce(F.col("type") == INSERT, F.lit(False)), base, wanted))
+    payload = F.when(F.col("type").isin(INSERT, UPDATE), F.col("squashed")).when(F.col("type") == DELETE, F.lit(""))
     late = F.exists(F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0))), lambda s: s["type"] == INSERT)
     return merged.select(*KEY, "type", payload.alias("payload"), "version_id", "ts", F.transform("steps", lambda s: s["seq"]).alias("token"), (~late).alias("valid"))
 
